@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows counts as hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 0.001
+#: A side with more rows than this (a few MB of keys and counts) is shuffled, not broadcast.
+BROADCAST_ROWS = 50_000
 
 _own_dir: str | None = None
 
@@ -72,23 +76,47 @@ def with_row_id(df: DataFrame, f: str = "_rf", r: str = "_rr") -> DataFrame:
     return df.withColumns({f: F.xxhash64(F.col("_metadata.file_path")), r: F.col("_metadata.row_index")})
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors once per application, for operators that run Python there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    made = Path(tempfile.mkdtemp(prefix="plumbline-src-"))
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    at = made / "plumbline-src.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+    _shipped.add(app)
+
+
 def words_count(text) -> F.Column:
     """Number of runs of anything but the six ASCII white-space characters."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
-    """left joined to right, which has one row per key and the key's number of left rows in column n.
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """left inner-joined to right, which has one row per key and the key's number of left rows in column n.
 
-    Keys with over HOT_SHARE of all rows (at most 1 / HOT_SHARE of them) are broadcast; the
-    rest are shuffled, so no task gets more than that share of the rows for a key.
+    right is broadcast where it has at most BROADCAST_ROWS rows, counted here. Beyond that
+    both sides are shuffled by key and salt: a key with over HOT_SHARE of all rows (at most
+    1 / HOT_SHARE keys can have that) is dealt to as many salts as it has such shares.
+    right should be cut (checkpointed): it is read more than once.
     """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys)
     limit = max(1, int(total * HOT_SHARE))
-    hot = right.filter(F.col(n) > limit)
-    marked = left.join(F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True))), keys, "left")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right.filter(F.col(n) <= limit), keys, how)
-    warm = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot), keys, "inner")
-    return cold.unionByName(warm.select(*cold.columns))
+    salts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
+    hot = right.filter(F.col(n) > limit).select(*keys, salts.alias("_salts"))
+    spread = F.floor(F.rand(7) * F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -148,4 +176,4 @@ def filter_spots(key: str, bits: int = 1 << 25) -> F.Column:
     return F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(4)])
 
 
-__all__ = ["Window", "bit_filter", "components", "cut", "delete_dir", "filter_spots", "hot_join", "in_filter", "new_dir", "parallelism", "shared_dir", "with_row_id", "words_count"]
+__all__ = ["Window", "bit_filter", "components", "cut", "delete_dir", "filter_spots", "hot_join", "in_filter", "new_dir", "parallelism", "shared_dir", "ship", "with_row_id", "words_count"]

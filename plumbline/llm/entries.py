@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, mixing
+from plumbline.llm import bpe, exact_dedup, mixing, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_bpe": bpe.op2_bpe,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op7_secret_scan": secrets.op7_secret_scan,
+    "op9_quality_classifier": quality.op9_quality_classifier,
 }
 
 ORACLE_SQL = {

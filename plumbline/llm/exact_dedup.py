@@ -73,9 +73,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     state = cut(read_state(spark, state_dir))
     delete_dir(spark, state_dir)
 
-    hits = state.filter("n > 1")
+    hits = state.filter("n > 1").select("_digest", "n")
     text = rows.select(F.col(id_col).cast("long").alias("_id"), normalised(F.col(text_col)).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    hit_rows = hot_join(text, hits.select("_digest", "n"), ["_digest"], "n", total)
+    hit_rows = hot_join(text, hits, ["_digest"], "n", total)
     # grouping by the text compares full bytes; one row per text and task is shuffled
     classes = hit_rows.groupBy("_digest", "_text").agg(F.count("*").alias("m"))
     split = classes.groupBy("_digest").agg(F.count("*").alias("c")).filter("c > 1")
