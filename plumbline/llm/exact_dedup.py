@@ -26,7 +26,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, delete_dir, hot_join, new_dir, with_row_id
 
 SPACE = r"[\x20\x09-\x0D]+"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state is on disk, its memory is bounded, and many small stores do not reserve disk ahead.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text) -> F.Column:
@@ -37,12 +44,10 @@ def _run_state(spark: SparkSession, log_dir: str, schema, state_dir: str) -> Non
     """Streams the log through the keyed state; what is new since the last run is what it reads."""
     keep = F.min(F.struct((F.col("_id").isNull()).alias("late"), "_id", "_rf", "_rr")).alias("keep")
     stream = spark.readStream.schema(schema).parquet(log_dir).groupBy("_digest").agg(keep, F.count("*").alias("n"))
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB")}
+    old = {k: spark.conf.get(k, None) for k in STORE}
     try:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
-        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "8")
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
         q = stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
