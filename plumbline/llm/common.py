@@ -144,36 +144,49 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def bit_filter(spark: SparkSession, keys: DataFrame, key: str, bits: int = 1 << 25):
-    """A Bloom filter of fixed size over long keys, as bytes broadcast to the executors.
+FILTER_BITS = 1 << 25
 
-    It only spares shuffling rows that cannot match; when more keys come than it can
-    tell apart it lets everything through and results stay the same. bits / 8 bytes
-    (4 MiB) is its size whatever the input.
-    """
-    spots = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) + 1 for i in range(4)]
-    at = keys.select(F.explode(F.array(*spots)).alias("p"))
-    pages = (
-        at.groupBy(F.expr("bitmap_bucket_number(p)").alias("b"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
-        .collect()  # at most bits / 32768 pages of 4096 bytes
-    )
-    blob = bytearray(bits // 8)
-    for b, m in pages:
-        blob[(b - 1) * 4096 : b * 4096] = m
-    return spark.sparkContext.broadcast(bytes(blob))
+
+def _filter_places(keys, bits: int):
+    """Four positions for each of an array of unsigned 64-bit keys, one row per key."""
+    import numpy as np
+
+    from plumbline.llm.shingles import mix64
+
+    return np.stack([(mix64(keys + np.uint64(i)) % np.uint64(bits)).astype(np.int64) for i in range(1, 5)], axis=1)
 
 
-def in_filter(spots, blob) -> "object":
-    """Which rows of an array of filter positions (rows x 4) may be in the filter."""
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS):
+    """A Bloom filter of fixed size over one column of longs, broadcast to the executors.
+
+    It only spares carrying rows that cannot match: when more keys come than it can tell
+    apart it lets everything through and results stay the same. Its size is bits / 8 bytes
+    (4 MiB) whatever the input.
+    """
     import numpy as np
+    import pyarrow as pa
 
-    bits = np.frombuffer(blob, np.uint8)
-    return ((bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).all(axis=1)
+    spark = keys.sparkSession
+    ship(spark)
 
+    def places(batches):
+        for batch in batches:
+            at = _filter_places(batch.column(0).to_numpy().view(np.uint64), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at.reshape(-1))], names=["p"])
+
+    at = keys.mapInArrow(places, "p long").selectExpr("p + 1 as p")
+    pages = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
+    blob = bytearray(bits // 8)
+    for b, m in pages.collect():  # at most bits / 32768 pages of 4096 bytes
+        blob[(b - 1) * 4096 : b * 4096] = m
+    return spark.sparkContext.broadcast(bytes(blob))
 
-def filter_spots(key: str, bits: int = 1 << 25) -> F.Column:
-    return F.array(*[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(4)])
 
+def may_hold(keys, blob: bytes):
+    """Which of an array of unsigned 64-bit keys may be in the filter."""
+    import numpy as np
 
-__all__ = ["Window", "bit_filter", "components", "cut", "delete_dir", "filter_spots", "hot_join", "in_filter", "new_dir", "parallelism", "shared_dir", "ship", "with_row_id", "words_count"]
+    if not len(keys):
+        return np.zeros(0, bool)
+    bits, at = np.frombuffer(blob, np.uint8), _filter_places(keys, len(blob) * 8)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)

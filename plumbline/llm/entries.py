@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, exact_dedup, mixing, quality, secrets
+from plumbline.llm import bpe, exact_dedup, jaccard_join, mixing, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_quality_classifier": quality.op9_quality_classifier,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLE_SQL = {
