@@ -84,16 +84,16 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
-def _tail(z: str) -> str:
-    """SQL: two-sided normal tail of z by Abramowitz and Stegun 26.2.17, good to 7 digits."""
-    x = f"least(abs({z}), 37D)"
-    t = f"(1D / (1D + 0.2316419D * {x}))"
-    poly = f"{t} * (0.319381530D + {t} * (-0.356563782D + {t} * (1.781477937D + {t} * (-1.821255978D + {t} * 1.330274429D))))"
-    return f"(2D * exp(-{x} * {x} / 2D) / sqrt(2D * pi()) * {poly})"
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body with name standing for value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _indices(w: str, alphabet: str) -> str:
-    return f"transform(sequence(1, char_length({w})), i -> cast(locate(substring({w}, i, 1), '{alphabet}') - 1 as double))"
+def _tail(z: str) -> str:
+    """SQL: two-sided normal tail of z by Abramowitz and Stegun 26.2.17, good to 7 digits."""
+    poly = "t * (0.319381530D + t * (-0.356563782D + t * (1.781477937D + t * (-1.821255978D + t * 1.330274429D))))"
+    inner = _let("1D / (1D + 0.2316419D * a)", "t", f"2D * exp(-a * a / 2D) / sqrt(2D * pi()) * {poly}")
+    return _let(f"least(abs({z}), 37D)", "a", inner)
 
 
 def _total(array: str) -> str:
@@ -101,30 +101,33 @@ def _total(array: str) -> str:
 
 
 def chi_squared_z(w: str, alphabet: str) -> str:
-    a, n, df = len(alphabet), f"cast(char_length({w}) as double)", len(alphabet) - 1
-    squares = f"aggregate(sequence(1, {a}), 0D, (s, k) -> s + power(char_length({w}) - char_length(replace({w}, substring('{alphabet}', k, 1), '')), 2))"
-    chi = f"({squares} * {a} / {n} - {n})"
-    return f"((cbrt({chi} / {df}D) - {1 - 2 / (9 * df)!r}D) / {math.sqrt(2 / (9 * df))!r}D)"
+    """SQL of the chi-squared statistic's normal score, from the token w."""
+    a, n, df = f"char_length({alphabet})", f"cast(char_length({w}) as double)", f"(char_length({alphabet}) - 1D)"
+    squares = f"aggregate(sequence(1, {a}), 0D, (s, k) -> s + power(char_length({w}) - char_length(replace({w}, substring({alphabet}, k, 1), '')), 2))"
+    return f"(cbrt(({squares} * {a} / {n} - {n}) / {df}) - (1D - 2D / (9D * {df}))) / sqrt(2D / (9D * {df}))"
 
 
-def runs_z(w: str, alphabet: str) -> str:
-    high = f"transform({_indices(w, alphabet)}, x -> if(x >= {len(alphabet) / 2}D, 1D, 0D))"
-    n, n1 = f"cast(char_length({w}) as double)", _total(high)
-    changes = _total(f"zip_with(slice({high}, 1, char_length({w}) - 1), slice({high}, 2, char_length({w}) - 1), (x, y) -> abs(x - y))")
-    mean = f"(1D + 2D * {n1} * ({n} - {n1}) / {n})"
-    return f"if({n1} = 0D or {n1} = {n}, 30D, ({changes} + 1D - {mean}) / sqrt(greatest(({mean} - 1D) * ({mean} - 2D) / ({n} - 1D), 1e-9D)))"
+def runs_z(x: str, alphabet: str) -> str:
+    """SQL of the runs test's normal score, from the token's symbol indices x."""
+    high = f"transform({x}, i -> if(i >= char_length({alphabet}) / 2D, 1D, 0D))"
+    changes = _total("zip_with(slice(h, 1, size(h) - 1), slice(h, 2, size(h) - 1), (p, q) -> abs(p - q))")
+    score = f"({changes} + 1D - m) / sqrt(greatest((m - 1D) * (m - 2D) / (size(h) - 1D), 1e-9D))"
+    mean = _let("1D + 2D * o * (size(h) - o) / size(h)", "m", score)
+    return _let(high, "h", _let(_total("h"), "o", f"if(o = 0D or o = size(h), 30D, {mean})"))
 
 
-def serial_z(w: str, alphabet: str) -> str:
-    a, x = len(alphabet), _indices(w, alphabet)
-    mean, var = f"{(a - 1) / 2}D", f"{(a * a - 1) / 12!r}D"
-    products = f"zip_with(slice({x}, 1, char_length({w}) - 1), slice({x}, 2, char_length({w}) - 1), (x, y) -> (x - {mean}) * (y - {mean}))"
-    return f"({_total(products)} / {var} / sqrt(char_length({w}) - 1D))"
+def serial_z(x: str, alphabet: str) -> str:
+    """SQL of the serial correlation's normal score, from the token's symbol indices x."""
+    a = f"char_length({alphabet})"
+    products = f"zip_with(slice({x}, 1, size({x}) - 1), slice({x}, 2, size({x}) - 1), (p, q) -> (p - ({a} - 1D) / 2D) * (q - ({a} - 1D) / 2D))"
+    return f"{_total(products)} / (({a} * {a} - 1D) / 12D) / sqrt(size({x}) - 1D)"
 
 
 def battery(w: str, alphabet: str) -> str:
-    """SQL: the least of the three tests' p-values, times three."""
-    return "(3D * least(" + ", ".join(_tail(f(w, alphabet)) for f in (chi_squared_z, runs_z, serial_z)) + "))"
+    """SQL: the least of the three tests' p-values, times three, for token w in an alphabet (both SQL)."""
+    indices = f"transform(sequence(1, char_length({w})), i -> cast(locate(substring({w}, i, 1), {alphabet}) - 1 as double))"
+    tests = (chi_squared_z(w, alphabet), runs_z("x", alphabet), serial_z("x", alphabet))
+    return _let(indices, "x", "3D * least(" + ", ".join(map(_tail, tests)) + ")")
 
 
 def log_p(w: str, alphabet_size: str) -> str:
@@ -142,11 +145,10 @@ def judged_array(text: Column) -> Column:
 
 def _judge_sql(c: str) -> str:
     w = f"{c}.w"
-    hexed, base32 = f"{w} rlike '^[0-9a-f]+$'", f"{w} rlike '^[A-Z2-7]+$'"
-    size = f"case when {hexed} then 16D when {base32} then 32D else {len(BITS['base64'])}D end"
-    fit = f"case when {hexed} then {battery(w, BITS['hex'])} when {base32} then {battery(w, BITS['base32'])} else {battery(w, BITS['base64'])} end"
+    alphabet = f"case when {w} rlike '^[0-9a-f]+$' then '{BITS['hex']}' when {w} rlike '^[A-Z2-7]+$' then '{BITS['base32']}' else '{BITS['base64']}' end"
     mixed = f"({w} rlike '[0-9]' and {w} rlike '[A-Za-z]')"
-    return f"named_struct('start', {c}.start, 'ord', {KINDS.index('random')}, 'end', {c}.end, 'kind', 'random', 'log_p', {log_p(w, size)}, 'pass', if({mixed}, {fit} > {ALPHA}D, false))"
+    verdict = f"named_struct('start', {c}.start, 'ord', {KINDS.index('random')}, 'end', {c}.end, 'kind', 'random', 'log_p', {log_p(w, 'char_length(ab)')}, 'pass', if({mixed}, {battery(w, 'ab')} > {ALPHA}D, false))"
+    return _let(alphabet, "ab", verdict)
 
 
 def judged(docs: DataFrame) -> DataFrame:
