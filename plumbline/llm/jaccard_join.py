@@ -52,6 +52,18 @@ HOT_MOST = 1_000_000
 _LOG = 4096
 _FIT = round(-math.log(PERCENT / 100) * _LOG) + 2
 _U = np.uint64
+#: What scan C writes. node: the row's place, 16 bytes.
+DOCUMENTS = "rf long, rr long, doc_id long, node binary, n long, cls binary, g long, items binary, bm binary"
+
+
+def pack_set(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, in planes: two sets' chance of a false match is |A| |B| / 2**48."""
+    return (s >> _U(32)).astype("<u4").tobytes() + ((s >> _U(16)) & _U(0xFFFF)).astype("<u2").tobytes()
+
+
+def unpack_set(b) -> np.ndarray:
+    n = len(b) // 6
+    return (np.frombuffer(b, "<u4", n).astype(_U) << _U(16)) | np.frombuffer(b, "<u2", n, 4 * n)
 
 
 def prefix_length(n: int) -> int:
@@ -227,31 +239,51 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
         known = order.value
         for part, texts in in_chunks(batches, 3):
             sets = shingle_sets(texts)
+            place = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1)
+            node = [x.tobytes() for x in place]
             cls = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             g = np.array([group_of(s, known.prefix(s)) if len(s) else 0 for s in sets], _U)
             c = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U)
             held = may_hold(g, wanted.value) | may_hold(c, wanted.value)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(signed(g)),
-                    pa.array([s.tobytes() if h and len(s) else None for s, h in zip(sets, held, strict=True)], pa.binary()),
+                    *part.columns[:3], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(signed(g)),
+                    pa.array([pack_set(s) if h and len(s) else None for s, h in zip(sets, held, strict=True)], pa.binary()),
                     pa.array([bitmap(s) if h and len(s) else None for s, h in zip(sets, held, strict=True)], pa.binary()),
                 ],
-                names=["rf", "rr", "doc_id", "n", "cls", "g", "items", "bm"],
+                names=DOCUMENTS.replace(",", "").split(" ")[::2],
             )
 
-    schema = "rf long, rr long, doc_id long, n long, cls binary, g long, items binary, bm binary"
-    return rows.select("_rf", "_rr", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, schema)
+    return rows.select("_rf", "_rr", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DOCUMENTS)
 
 
-def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: classes) whose sets link."""
+def links_among(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets link: first by bitmaps, then by sets of what is left."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                x, y = (np.stack([_fold(v.as_buffer()) for v in batch.column(i)]).view(_U) for i in (4, 5))
+                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (m + n) * (100 - PERCENT)
+                near &= 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+    maps = docs.filter("bm is not null").select("node", "n", "bm")
+    left = pairs.join(maps.toDF("a", "m", "x"), "a").join(maps.toDF("b", "n", "y"), "b")
+    near = cut(left.select("a", "b", "m", "n", "x", "y").mapInArrow(bounded, "a binary, b binary"))
+    wanted = key_filter(near.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("k")))
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = may_hold(batch.column(2).to_numpy().view(_U), wanted.value)
+            yield batch.select(["node", "items"]).filter(pa.array(held))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                x, y = unpack_set(x.as_buffer()), unpack_set(y.as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -259,13 +291,13 @@ def links_among(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
+    sets = docs.filter("items is not null").select("node", "items", F.xxhash64("node").alias("k")).mapInArrow(needed, "node binary, items binary")
+    both = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(verify, "a binary, b binary")
 
 
 def _pairs_across(members: DataFrame) -> DataFrame:
-    """a, b: pairs of classes of one bucket and different components that pass the size and bitmap bounds."""
+    """a, b: pairs of nodes of one bucket and different components that pass the size and bitmap bounds."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -282,7 +314,7 @@ def _pairs_across(members: DataFrame) -> DataFrame:
         if not table.num_rows:
             return
         b, n = table.column("b").to_numpy(), table.column("n").to_numpy()
-        comp, cls, bm = table.column("comp").to_pylist(), table.column("cls").to_pylist(), table.column("bm").to_pylist()
+        comp, node, bm = table.column("comp").to_pylist(), table.column("node").to_pylist(), table.column("bm").to_pylist()
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         ids = {c: i for i, c in enumerate(dict.fromkeys(comp))}
         comp = np.array([ids[c] for c in comp])
@@ -300,18 +332,18 @@ def _pairs_across(members: DataFrame) -> DataFrame:
                 differ = np.bitwise_count(maps[i + 1 : end] ^ maps[i]).sum(axis=1, dtype=np.int64)
                 room = (sizes[i + 1 : end] + sizes[i]) * (100 - PERCENT)  # |A - B| + |B - A| <= (1 - t) / (1 + t) (|A| + |B|)
                 for j in np.flatnonzero((differ * (100 + PERCENT) <= room) & (comp[by[i + 1 : end]] != comp[by[i]])).tolist():
-                    x, y = cls[by[i]], cls[by[i + 1 + j]]
+                    x, y = node[by[i]], node[by[i + 1 + j]]
                     left.append(min(x, y))
                     right.append(max(x, y))
         if left:
             pairs = list(dict.fromkeys(zip(left, right, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
 
-    return members.select("b", "cls", "comp", "n", "bm").mapInArrow(across, "a binary, b binary").distinct()
+    return members.mapInArrow(across, "a binary, b binary").distinct()
 
 
-def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str], int]:
-    """(documents: rf, rr, doc_id, n, cls; labels: node, root for classes with links; folders to delete after use; number of rows)."""
+def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(documents: rf, rr, doc_id, n, cls; cls, root of classes with links; number of rows)."""
     spark = rows.sparkSession
     ship(spark)
     sc = spark.sparkContext
@@ -324,40 +356,39 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str], in
     shared = buckets.filter("not own").select("b", "g", "hub")
     wanted = key_filter(buckets.select("g").distinct())  # groups, and for groups' own buckets their classes
     describe(rows, order, wanted).write.parquet(f"{at}/documents")
-    docs = spark.read.schema("rf long, rr long, doc_id long, n long, cls binary, g long, items binary, bm binary").parquet(f"{at}/documents")
-    classes = docs.filter("items is not null").dropDuplicates(["cls"]).select("cls", "g", "n", "items", "bm")
-    classes.write.parquet(f"{at}/classes")
-    classes = spark.read.schema(classes.schema).parquet(f"{at}/classes")
-    names = classes.select("cls", "g", "n")
-
-    heads = cut(names.groupBy("g").agg(F.min("cls").alias("head"), F.count("*").alias("k")))
-    within = names.join(heads.filter("k > 1"), "g").filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    docs = spark.read.schema(DOCUMENTS).parquet(f"{at}/documents")
+    # a class is known by its first row's node; n and g are the same in all its rows
+    names = docs.filter("bm is not null").groupBy("cls", "g", "n").agg(F.min("node").alias("node"))
+    names = cut(names)
+
+    heads = cut(names.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("k")))
+    within = names.join(heads.filter("k > 1"), "g").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     often = shared.filter("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("k"))
     best = often.groupBy("g").agg(F.max(F.struct("k", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
     first = best.join(heads.select("g", F.col("head").alias("b")), "g").join(heads.select(F.col("g").alias("hub"), F.col("head").alias("a")), "hub").select("a", "b")
-    links = cut(links_among(within.unionByName(first), classes))
+    links = cut(links_among(within.unionByName(first), docs))
     labels = cut(components(links))
 
-    comp = names.join(labels.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    comp = cut(comp)
-    groups = comp.filter("g is not null").select("g", "cls", "comp")
-    inside = groups.withColumn("b", F.col("g"))
-    listed = shared.select("b", "g").join(groups, "g").select("b", "g", "cls", "comp").unionByName(inside.select("b", "g", "cls", "comp"))
+    comp = cut(names.join(labels.withColumnRenamed("root", "comp"), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp")))
+    listed = shared.select("b", "g").join(comp, "g").select("b", "node", "comp").unionByName(comp.select(F.col("g").alias("b"), "node", "comp"))
     spread = listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
-    open_ = listed.join(spread, "b").join(classes.select("cls", "n", "bm"), "cls")
-    open_ = open_.repartition(parallelism(spark), "b").sortWithinPartitions("b")
-    more = cut(links_among(_pairs_across(open_), classes))
+    maps = docs.filter("bm is not null").select("node", "n", "bm")
+    mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
+    mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
+    more = cut(links_among(_pairs_across(mixed), docs))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    return docs.select("rf", "rr", "doc_id", "n", "cls"), cut(labels), [at], total
+    labels = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+    by_class = cut(labels.join(names.select("node", "cls"), "node").select("cls", "root"))
+    return docs.select("rf", "rr", "doc_id", "n", "cls"), by_class, total
 
 
 def components_of(rows: DataFrame) -> DataFrame:
     """rf, rr, doc_id, n_shingles, component_id, keep (the first row of its component) for rows with identities."""
-    docs, labels, _, total = linked_classes(rows)
+    docs, labels, total = linked_classes(rows)
     named = docs.withColumn("cls", F.when(F.col("n") > 0, F.col("cls")).otherwise(F.concat(F.lit("-").cast("binary"), F.col("rf").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("rr").cast("string").cast("binary"))))
     own = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rf", "rr")).alias("first"), F.count("*").alias("m"))
-    roots = own.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    roots = own.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = cut(roots.select("cls", "root", "first", "m"))
     best = roots.groupBy("root").agg(F.min("first").alias("best"))
     where = cut(roots.join(best, "root").select("cls", "best", "m"))
