@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets finished phases' shuffle files go: Spark drops them when the JVM collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,8 +73,8 @@ def with_row_id(df: DataFrame, f: str = "_rf", r: str = "_rr") -> DataFrame:
     folder, so that a recomputed task sees the same identities.
     """
     spark = df.sparkSession
-    hidden = df._jdf.queryExecution().analyzed().metadataOutput().toString()
-    backed = "_metadata" in hidden and "_metadata" not in df.columns and "row_index" in hidden
+    backed = "_metadata" not in df.columns and "_metadata" in df._jdf.queryExecution().analyzed().metadataOutput().toString()
+    backed = backed and "row_index" in df.select("_metadata").schema["_metadata"].dataType.names
     if not backed:
         df = df.drop("_metadata")
         at = new_dir(spark, "rows")

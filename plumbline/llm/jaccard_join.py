@@ -13,7 +13,7 @@ of prefixes.
 2. Scan B collapses documents with identical prefix and size into one group and deals the
    groups' prefixes out by shingle, packed. Shingles with several groups of fitting size
    become buckets. So does a group with several different sets.
-3. Scan C keeps the sets of groups in buckets (a Bloom filter of fixed size, see
+3. Scan C keeps bitmaps of the sets of groups in buckets (a Bloom filter of fixed size, see
    `common.key_filter`, spares the rest; the buckets decide).
 4. Groups are expanded to their different sets (classes; copies are never expanded) and
    verified in two rounds. First each class against one partner, the first of the bucket it
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, cut, hot_join, key_filter, may_hold, new_dir, parallelism, ship, with_row_id
+from plumbline.llm.common import components, cut, hot_join, key_filter, may_hold, new_dir, parallelism, release, ship, with_row_id
 from plumbline.llm.shingles import in_chunks, mix64, shingle_sets
 
 PERCENT = 75
@@ -52,8 +52,10 @@ HOT_MOST = 1_000_000
 _LOG = 4096
 _FIT = round(-math.log(PERCENT / 100) * _LOG) + 2
 _U = np.uint64
+#: Bits of the bitmaps that buckets compare; verification first compares wider ones.
+SMALL_BITS = 1024
 #: What scan C writes. node: the row's place, 16 bytes.
-DOCUMENTS = "rf long, rr long, doc_id long, node binary, n long, cls binary, g long, items binary, bm binary"
+DOCUMENTS = "rf long, rr long, doc_id long, node binary, n long, cls binary, g long, bm binary, wide binary"
 
 
 def pack_set(s: np.ndarray) -> bytes:
@@ -215,25 +217,19 @@ def _bucket_rows(dealt: DataFrame, parts: int) -> DataFrame:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap: bit i is set when an odd number of elements fall on i. About two bits for each element."""
-    bits = bitmap_bits(len(s))
-    counts = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(counts.astype(np.uint8)).tobytes()
+    """Parity bitmap, 4 to 8 bits for each element: bit i is set when an odd number of elements fall on i."""
+    bits = max(SMALL_BITS, 1 << (4 * len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def bitmap_bits(n: int) -> int:
-    """One width for all sizes that can fit one another would be best; widths grow by 8 and are folded to the smaller."""
-    return 1024 if n <= 1200 else 8192
-
-
-def _fold(bm: bytes) -> np.ndarray:
-    """A bitmap as 1024 bits: parities of a wide bitmap's bits with equal low bits."""
-    x = np.frombuffer(bm, np.uint8)
-    return np.bitwise_xor.reduce(x.reshape(-1, 128), axis=0)
+def fold(bm, size: int) -> np.ndarray:
+    """A bitmap narrowed to so many bytes: parities of the bits with equal low places."""
+    return np.bitwise_xor.reduce(np.frombuffer(bm, np.uint8).reshape(-1, size), axis=0)
 
 
 def describe(rows: DataFrame, order, wanted) -> DataFrame:
-    """Scan C: rf, rr, doc_id, n, cls, g, and where the group or class is wanted the set and its bitmap."""
+    """Scan C: rf, rr, doc_id, n, cls, g, and where the group or class is wanted its bitmaps."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
@@ -245,11 +241,11 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
             g = np.array([group_of(s, known.prefix(s)) if len(s) else 0 for s in sets], _U)
             c = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U)
             held = may_hold(g, wanted.value) | may_hold(c, wanted.value)
+            wide = [bitmap(s) if h and len(s) else None for s, h in zip(sets, held, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *part.columns[:3], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(signed(g)),
-                    pa.array([pack_set(s) if h and len(s) else None for s, h in zip(sets, held, strict=True)], pa.binary()),
-                    pa.array([bitmap(s) if h and len(s) else None for s, h in zip(sets, held, strict=True)], pa.binary()),
+                    pa.array([fold(w, SMALL_BITS // 8).tobytes() if w else None for w in wide], pa.binary()), pa.array(wide, pa.binary()),
                 ],
                 names=DOCUMENTS.replace(",", "").split(" ")[::2],
             )
@@ -257,27 +253,36 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
     return rows.select("_rf", "_rr", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DOCUMENTS)
 
 
-def links_among(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b: nodes) whose sets link: first by bitmaps, then by sets of what is left."""
+def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets link: first by bitmaps, then by the sets of what is left, made again from the texts."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                x, y = (np.stack([_fold(v.as_buffer()) for v in batch.column(i)]).view(_U) for i in (4, 5))
-                near = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + PERCENT) <= (m + n) * (100 - PERCENT)
+                differ = np.zeros(batch.num_rows, np.int64)
+                for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                    x, y = x.as_buffer(), y.as_buffer()
+                    size = min(len(x), len(y))
+                    differ[i] = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()
+                near = differ * (100 + PERCENT) <= (m + n) * (100 - PERCENT)
                 near &= 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    maps = docs.filter("bm is not null").select("node", "n", "bm")
+    maps = docs.filter("wide is not null").select("node", "n", "wide")
     left = pairs.join(maps.toDF("a", "m", "x"), "a").join(maps.toDF("b", "n", "y"), "b")
     near = cut(left.select("a", "b", "m", "n", "x", "y").mapInArrow(bounded, "a binary, b binary"))
-    wanted = key_filter(near.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("k")))
+    docs = docs.select("rf", "rr", "node")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = cut(ends.join(docs, "node").select(F.xxhash64("rf", "rr").alias("k")))
+    wanted = key_filter(ends)
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = may_hold(batch.column(2).to_numpy().view(_U), wanted.value)
-            yield batch.select(["node", "items"]).filter(pa.array(held))
+            some = batch.filter(pa.array(may_hold(batch.column(3).to_numpy().view(_U), wanted.value)))
+            for part, texts in in_chunks([some], 2):
+                place = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in place], pa.binary()), pa.array([pack_set(s) for s in shingle_sets(texts)], pa.binary())], names=["node", "items"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +296,7 @@ def links_among(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = docs.filter("items is not null").select("node", "items", F.xxhash64("node").alias("k")).mapInArrow(needed, "node binary, items binary")
+    sets = rows.select("_rf", "_rr", "text", F.xxhash64("_rf", "_rr").alias("k")).mapInArrow(needed, "node binary, items binary")
     both = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(verify, "a binary, b binary")
 
@@ -324,7 +329,7 @@ def _pairs_across(members: DataFrame) -> DataFrame:
                 continue
             by = lo + np.argsort(n[lo:hi], kind="stable")
             sizes = n[by]
-            maps = np.stack([_fold(bm[i]) for i in by]).view(_U)
+            maps = np.frombuffer(b"".join([bm[i] for i in by]), np.uint8).reshape(len(by), -1).view(_U)
             for i in range(len(by) - 1):
                 end = int(np.searchsorted(sizes, 100 * sizes[i] // PERCENT, "right"))
                 if end <= i + 1:
@@ -352,6 +357,7 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     parts = 4 * parallelism(spark)
     at = new_dir(spark, "jaccard")
     _bucket_rows(_deal(rows, order, parts), parts).write.parquet(f"{at}/buckets")
+    release(spark)
     buckets = spark.read.schema("b long, g long, hub long, own boolean").parquet(f"{at}/buckets")
     shared = buckets.filter("not own").select("b", "g", "hub")
     wanted = key_filter(buckets.select("g").distinct())  # groups, and for groups' own buckets their classes
@@ -366,16 +372,17 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     often = shared.filter("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("k"))
     best = often.groupBy("g").agg(F.max(F.struct("k", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
     first = best.join(heads.select("g", F.col("head").alias("b")), "g").join(heads.select(F.col("g").alias("hub"), F.col("head").alias("a")), "hub").select("a", "b")
-    links = cut(links_among(within.unionByName(first), docs))
+    links = cut(links_among(within.unionByName(first), docs, rows))
     labels = cut(components(links))
 
+    release(spark)
     comp = cut(names.join(labels.withColumnRenamed("root", "comp"), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp")))
     listed = shared.select("b", "g").join(comp, "g").select("b", "node", "comp").unionByName(comp.select(F.col("g").alias("b"), "node", "comp"))
     spread = listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
     maps = docs.filter("bm is not null").select("node", "n", "bm")
     mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
     mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
-    more = cut(links_among(_pairs_across(mixed), docs))
+    more = cut(links_among(_pairs_across(mixed), docs, rows))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     labels = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
