@@ -16,11 +16,12 @@ of prefixes.
 3. Scan C keeps bitmaps of the sets of groups in buckets (a Bloom filter of fixed size, see
    `common.key_filter`, spares the rest; the buckets decide).
 4. Groups are expanded to their different sets (classes; copies are never expanded) and
-   verified in two rounds. First each class against one partner, the first of the bucket it
-   shares most often; then, for buckets that still hold several components, all pairs
-   across components that pass an exact bound from parity bitmaps: the bits in which two
-   bitmaps differ are at most the elements in which the sets differ. A component of
-   thousands of near copies so costs a check per member, not per pair.
+   verified in rounds. First each class against one partner, the most connected of the
+   buckets they share; then, in buckets that still hold several components, each
+   component's nearest pair across components by parity bitmaps, for as long as that finds
+   links; last, all pairs across components that pass the bitmaps' exact bound: the bits in
+   which two bitmaps differ are at most the elements in which the sets differ. A component
+   of thousands of near copies so costs a few checks per member, not one per pair.
 5. Components come from alternating star steps; only counts reach the driver.
 
 Defined results: null text is empty text; documents without words have no shingle, no link
@@ -301,52 +302,93 @@ def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame
     return both.mapInArrow(verify, "a binary, b binary")
 
 
-def _pairs_across(members: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes of one bucket and different components that pass the size and bitmap bounds."""
+def bucket_pairs(n: np.ndarray, comp: np.ndarray, maps: np.ndarray, best_only: bool) -> list[tuple[int, int, float]]:
+    """(i, j, distance) in one bucket: pairs of different components within the size and bitmap bounds.
+
+    With best_only the nearest such pair of each component. Members are in ascending order
+    of n. Only members outside the largest component are compared, with all.
+    """
+    main = np.bincount(comp).argmax()
+    out: list[tuple[int, int, float]] = []
+    best: dict[int, tuple[float, int, int]] = {}
+    for i in np.flatnonzero(comp != main).tolist():
+        lo, hi = np.searchsorted(n, -(-PERCENT * n[i] // 100)), np.searchsorted(n, 100 * n[i] // PERCENT, "right")
+        size = n[lo:hi] + n[i]
+        differ = np.bitwise_count(maps[lo:hi] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        near = (differ * (100 + PERCENT) <= size * (100 - PERCENT)) & (comp[lo:hi] != comp[i])  # |A - B| + |B - A| <= (1 - t) / (1 + t) (|A| + |B|)
+        near = np.flatnonzero(near)
+        if not len(near):
+            continue
+        far = differ[near] / size[near]
+        if best_only:
+            k = int(far.argmin())
+            pair = (float(far[k]), i, int(lo + near[k]))
+            for c in (int(comp[i]), int(comp[pair[2]])):
+                if c not in best or pair < best[c]:
+                    best[c] = pair
+        else:
+            # a pair outside the largest component comes up from both sides
+            out += [(i, j, d) for j, d in zip((lo + near).tolist(), far.tolist(), strict=True) if comp[j] == main or i < j]
+    return [(i, j, d) for d, i, j in best.values()] if best_only else out
+
+
+def _pairs_across(members: DataFrame, best_only: bool) -> DataFrame:
+    """a, b: pairs of nodes of one bucket and different components; with best_only the nearest for each component in a task."""
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.Table] = []
+        best: dict[bytes, tuple[float, bytes, bytes]] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            table = pa.concat_tables([*rest, pa.Table.from_batches([batch])])
             b = table.column("b").to_numpy()
             last = int(np.searchsorted(b, b[-1])) if len(b) else 0  # the last bucket may go on in the next batch
-            yield from _emit(table.slice(0, last))
-            rest = table.slice(last)
-        if rest is not None:
-            yield from _emit(rest)
-
-    def _emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from emit(table.slice(0, last), best)
+            rest = [table.slice(last)]
+        if rest:
+            yield from emit(rest[0], best)
+        if best:
+            yield rows({(x, y) for _, x, y in best.values()})
+
+    def rows(pairs) -> pa.RecordBatch:
+        pairs = sorted(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
+    def emit(table: pa.Table, best) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
+        table = table.sort_by([("b", "ascending"), ("n", "ascending")])
         b, n = table.column("b").to_numpy(), table.column("n").to_numpy()
-        comp, node, bm = table.column("comp").to_pylist(), table.column("node").to_pylist(), table.column("bm").to_pylist()
+        names, node, bm = (table.column(c).to_pylist() for c in ("comp", "node", "bm"))
+        ids = {c: i for i, c in enumerate(dict.fromkeys(names))}
+        comp = np.array([ids[c] for c in names])
+        maps = np.frombuffer(b"".join(bm), np.uint8).reshape(len(bm), -1).view(_U)
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        ids = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        comp = np.array([ids[c] for c in comp])
-        left, right = [], []
+        found = set()
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
                 continue
-            by = lo + np.argsort(n[lo:hi], kind="stable")
-            sizes = n[by]
-            maps = np.frombuffer(b"".join([bm[i] for i in by]), np.uint8).reshape(len(by), -1).view(_U)
-            for i in range(len(by) - 1):
-                end = int(np.searchsorted(sizes, 100 * sizes[i] // PERCENT, "right"))
-                if end <= i + 1:
-                    continue
-                differ = np.bitwise_count(maps[i + 1 : end] ^ maps[i]).sum(axis=1, dtype=np.int64)
-                room = (sizes[i + 1 : end] + sizes[i]) * (100 - PERCENT)  # |A - B| + |B - A| <= (1 - t) / (1 + t) (|A| + |B|)
-                for j in np.flatnonzero((differ * (100 + PERCENT) <= room) & (comp[by[i + 1 : end]] != comp[by[i]])).tolist():
-                    x, y = node[by[i]], node[by[i + 1 + j]]
-                    left.append(min(x, y))
-                    right.append(max(x, y))
-        if left:
-            pairs = list(dict.fromkeys(zip(left, right, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+            local = np.unique(comp[lo:hi], return_inverse=True)[1]
+            for i, j, d in bucket_pairs(n[lo:hi], local, maps[lo:hi], best_only):
+                x, y = sorted((node[lo + i], node[lo + j]))
+                if best_only:
+                    for c in (names[lo + i], names[lo + j]):
+                        if c not in best or (d, x, y) < best[c]:
+                            best[c] = (d, x, y)
+                else:
+                    found.add((x, y))
+        if found:
+            yield rows(found)
 
     return members.mapInArrow(across, "a binary, b binary").distinct()
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """g, node, comp after links between nodes joined their components."""
+    ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+    roots = components(ends.select("x", "y"), "x", "y").withColumnsRenamed({"node": "comp", "root": "_root"})
+    return cut(comp.join(roots, "comp", "left").select("g", "node", F.coalesce("_root", "comp").alias("comp")))
+
+
 def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """(documents: rf, rr, doc_id, n, cls; cls, root of classes with links; number of rows)."""
     spark = rows.sparkSession
@@ -369,24 +411,34 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     heads = cut(names.groupBy("g").agg(F.min("node").alias("head"), F.count("*").alias("k")))
     within = names.join(heads.filter("k > 1"), "g").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    often = shared.filter("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("k"))
+    # the first round's partner: of the bucket-mates it could link with, the one in the most and largest buckets
+    sizes = shared.groupBy("b").agg(F.count("*").alias("k"))
+    fame = cut(shared.join(sizes, "b").groupBy("g").agg(F.sum("k").alias("fame")))
+    hubs = shared.join(fame, "g").groupBy("b").agg(F.max(F.struct("fame", "g")).alias("m")).select("b", F.col("m.g").alias("hub"))
+    often = shared.select("b", "g").join(hubs, "b").filter("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("k"))
     best = often.groupBy("g").agg(F.max(F.struct("k", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
     first = best.join(heads.select("g", F.col("head").alias("b")), "g").join(heads.select(F.col("g").alias("hub"), F.col("head").alias("a")), "hub").select("a", "b")
+    comp = names.select("g", "node", F.col("node").alias("comp"))
     links = cut(links_among(within.unionByName(first), docs, rows))
-    labels = cut(components(links))
-
-    release(spark)
-    comp = cut(names.join(labels.withColumnRenamed("root", "comp"), "node", "left").select("g", "node", F.coalesce("comp", "node").alias("comp")))
-    listed = shared.select("b", "g").join(comp, "g").select("b", "node", "comp").unionByName(comp.select(F.col("g").alias("b"), "node", "comp"))
-    spread = listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
+    comp = _merged(comp, links)
     maps = docs.filter("bm is not null").select("node", "n", "bm")
-    mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
-    mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
-    more = cut(links_among(_pairs_across(mixed), docs, rows))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    labels = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
-    by_class = cut(labels.join(names.select("node", "cls"), "node").select("cls", "root"))
+    best_only = True
+    while True:
+        release(spark)
+        listed = shared.select("b", "g").join(comp, "g").select("b", "node", "comp").unionByName(comp.select(F.col("g").alias("b"), "node", "comp"))
+        spread = listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
+        mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
+        mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
+        links = cut(links_among(_pairs_across(mixed, best_only), docs, rows))
+        if links.isEmpty():
+            if not best_only:
+                break
+            best_only = False  # the nearest pairs no longer link: all others are looked at once
+            continue
+        comp = _merged(comp, links)
+        if not best_only:
+            break
+    by_class = cut(comp.join(names.select("node", "cls"), "node").select("cls", F.col("comp").alias("root")))
     return docs.select("rf", "rr", "doc_id", "n", "cls"), by_class, total
 
 
