@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, exact_dedup, jaccard_join, mixing, quality, secrets
+from plumbline.llm import bpe, exact_dedup, jaccard_join, mixing, quality, repeats, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_remove_repeats": repeats.op6_remove_repeats,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
