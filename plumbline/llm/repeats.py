@@ -15,8 +15,8 @@ blocks:
    the hash says, are resolved by the first bytes and by the precomputed ranks of a
    difference-cover sample (`CoverRanks`), never by walking along the strings.
 4. Buckets with more than BLOCK different segments (a passage that a third of all documents
-   quote within different surroundings) are not gathered at all: their windows are counted
-   as rows by anchor, offset and two hashes.
+   quote within different surroundings) are not gathered at all: ranges of their windows are
+   counted by hashes, and narrowed where only their common bytes agree (`_big_spans`).
 
 Spans lead to removals per document; texts travel only for documents with a repeat (a Bloom
 filter of fixed size spares the others, see `common.key_filter`).
@@ -43,7 +43,7 @@ from plumbline.llm.shingles import in_chunks, mix64
 LENGTH = 400
 GRAM = 32
 #: Different segments of one anchor that one task sorts at most.
-BLOCK = 512
+BLOCK = 2048
 _U = np.uint64
 _K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 SEGMENTS = "rf long, rr long, ah long, sd long, lo long, hi long, at long"
@@ -330,7 +330,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         first = [*np.flatnonzero(np.concatenate([[True], ah[1:] != ah[:-1]])).tolist(), len(ah)] if len(ah) else [0]
         lo = 0
         for k in range(1, len(first)):
-            if first[k] - first[lo] >= 3000 or k == len(first) - 1:
+            if first[k] - first[lo] >= BLOCK or k == len(first) - 1:
                 part = table.slice(first[lo], first[k] - first[lo])
                 flags = sort_block(part.column("ah").to_numpy(), part.column("lead").to_numpy(), part.column("item").to_pylist())
                 rf, rr, at_ = (part.column(c).to_numpy() for c in ("rf", "rr", "lo"))
@@ -349,21 +349,45 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
 
 
 def _big_spans(big: DataFrame) -> DataFrame:
-    """Spans of buckets too large for a block: windows as rows, counted with partial sums by two hashes."""
-    schema = "ah long, o long, h long, g long, rf long, rr long, p long, n long"
+    """Spans of buckets too large for a block, by ranges of windows instead of gathering the bucket.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                data = np.frombuffer(x["item"], np.uint8)
-                h, g = window_hashes(data, LENGTH), window_hashes(data, LENGTH, 0xD6E8FEB86659FD93)
-                k = np.arange(len(h))
-                same = lambda name: np.full(len(h), x[name], np.int64)  # noqa: B023, E731
-                yield _batch(schema, same("ah"), x["lead"] - k, h.view(np.int64), g.view(np.int64), same("rf"), same("rr"), x["lo"] + k, same("n"))
-
-    rows = big.mapInArrow(windows, schema)
-    often = rows.groupBy("ah", "o", "h", "g").agg(F.count("*").alias("k")).filter("k > 1").select("ah", "o", "h", "g")
-    return rows.filter("n = 1").join(often, ["ah", "o", "h", "g"]).select("rf", "rr", F.col("p").alias("s"), (F.col("p") + LENGTH).alias("e"))
+    Ranges of 48 windows, then 6, then 1, are aligned to their offset from the anchor. Ranges
+    whose bytes are equal repeat whole; of the others, those that share the bytes common to
+    all windows of the range (by hashes) are looked at in smaller ranges, one of each kind.
+    Counts have partial sums, so no group is gathered.
+    """
+    schema = "ah long, c long, g long, t long, rf long, rr long, lo long, k0 long, k1 long, n long"
+    digest = xxhash.xxh3_64_intdigest
+    items = cut(big.select("rf", "rr", "lo", "ah", "lead", "item"))
+    todo = big.select("rf", "rr", "lo", F.lit(0).cast("long").alias("k0"), (F.octet_length("item") - LENGTH).cast("long").alias("k1"), "n")
+    spans = None
+    for width in (48, 6, 1):
+
+        def split(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = []
+                for x in batch.to_pylist():
+                    lead, item, k = x["lead"], x["item"], x["k0"]
+                    while k <= x["k1"]:
+                        c = (lead - k) // width  # offsets fall as windows advance
+                        end = min(x["k1"], lead - c * width)
+                        first, last = lead - (c * width + width - 1), lead - c * width  # windows of the whole range
+                        common = item[last : first + LENGTH]
+                        got.append((x["ah"], c, digest(common), digest(item[k : end + LENGTH], seed=lead - k), x["rf"], x["rr"], x["lo"], k, end, x["n"]))
+                        k = end + 1
+                if got:
+                    cols = list(zip(*got, strict=True))
+                    yield _batch(schema, *[np.array(v, _U).view(np.int64) if i in (2, 3) else np.array(v, np.int64) for i, v in enumerate(cols)])
+
+        keys = ["ah", "c", "g", "t"]
+        rows = cut(todo.join(items, ["rf", "rr", "lo"]).mapInArrow(split, schema))
+        kinds = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min(F.struct("rf", "rr", "lo", "k0", "k1")).alias("one")))
+        found = rows.filter("n = 1").join(kinds.filter("n > 1").select(*keys), keys)
+        found = found.select("rf", "rr", (F.col("lo") + F.col("k0")).alias("s"), (F.col("lo") + F.col("k1") + LENGTH).alias("e"))
+        spans = found if spans is None else spans.unionByName(found)
+        near = kinds.groupBy("ah", "c", "g").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+        todo = kinds.join(near, ["ah", "c", "g"]).select("one.*", "n")
+    return spans
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
