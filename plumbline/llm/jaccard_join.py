@@ -2,9 +2,9 @@
 
 Two documents link when their shingle sets' Jaccard similarity is at least 0.75. Under any
 one order of all shingles, two such sets share a shingle among the first
-n - ceil(0.75 n) + 1 of each (the prefix). The order here is by hash, except that frequent
-shingles come last, by frequency, so that a passage in a third of all documents stays out
-of prefixes.
+n - ceil(0.75 n) + 1 of each (the prefix). The order here is by length in bytes, longest
+first, then by hash: long shingles are rare. Frequent shingles come last, by frequency, so
+that a passage in a third of all documents stays out of prefixes.
 
 1. Scan A finds the frequent shingles: one in at least 1 / FREQUENT of the documents is that
    frequent in some chunk of documents, so chunks report theirs and the reports are summed.
@@ -59,16 +59,6 @@ SMALL_BITS = 1024
 DOCUMENTS = "rf long, rr long, doc_id long, node binary, n long, cls binary, g long, bm binary, wide binary"
 
 
-def pack_set(s: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, in planes: two sets' chance of a false match is |A| |B| / 2**48."""
-    return (s >> _U(32)).astype("<u4").tobytes() + ((s >> _U(16)) & _U(0xFFFF)).astype("<u2").tobytes()
-
-
-def unpack_set(b) -> np.ndarray:
-    n = len(b) // 6
-    return (np.frombuffer(b, "<u4", n).astype(_U) << _U(16)) | np.frombuffer(b, "<u2", n, 4 * n)
-
-
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
@@ -82,7 +72,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Order:
-    """The order of shingles: by hash, frequent ones last by frequency."""
+    """The order of shingles: ascending (see shingle_sets), frequent ones last by frequency."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         by = np.argsort(tokens)
@@ -283,13 +273,13 @@ def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame
             some = batch.filter(pa.array(may_hold(batch.column(3).to_numpy().view(_U), wanted.value)))
             for part, texts in in_chunks([some], 2):
                 place = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in place], pa.binary()), pa.array([pack_set(s) for s in shingle_sets(texts)], pa.binary())], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in place], pa.binary()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "items"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = unpack_set(x.as_buffer()), unpack_set(y.as_buffer())
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)

@@ -31,8 +31,8 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of all texts in order, number of words of each text); A-Z count as a-z."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash and length of every word of all texts in order, number of words of each text); A-Z count as a-z."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1))
@@ -40,24 +40,33 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
     if not len(starts):
-        return np.zeros(0, _U), counts
+        return np.zeros(0, _U), np.zeros(0, np.int64), counts
     lengths = ends - starts
     chars = _LOWER[data[~space]].astype(_U) + _U(1)
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     place = np.arange(len(chars)) - np.repeat(first, lengths)
     sums = np.add.reduceat(chars * _powers_to(int(lengths.max()))[place], first)
-    return mix64(sums + lengths.astype(_U) * _MIX[0]), counts
+    return mix64(sums + lengths.astype(_U) * _MIX[0]), lengths, counts
+
+
+def _by_length(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return (h >> _U(8)) | ((255 - np.minimum(length, 255)).astype(_U) << _U(56))
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
-    """For each text its distinct shingles' hashes, ascending; texts with fewer words have one for the whole sequence."""
-    words, counts = word_hashes(texts)
+    """For each text its distinct shingles, ascending; texts with fewer words have one for the whole sequence.
+
+    A shingle is 56 bits of hash below 8 bits that fall with its length in bytes: in ascending
+    order the longest come first, which are the rarest before anything is counted.
+    """
+    words, lengths, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     n = len(words)
     rolled = np.zeros(max(0, n - size + 1), _U)
     for k in range(size):
         rolled += words[k : k + len(rolled)] * _MIX[k % len(_MIX)] * _U(2 * (k // len(_MIX)) + 1)
-    rolled = mix64(rolled)
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    rolled = _by_length(mix64(rolled), total[size:] - total[:-size] if len(rolled) else total[:0])
     out = []
     for lo, hi in zip((ends - counts).tolist(), ends.tolist(), strict=True):
         if hi - lo >= size:
@@ -69,7 +78,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
             short = np.zeros(1, _U)
             for k in range(hi - lo):
                 short += words[lo + k] * _MIX[k]
-            out.append(mix64(short + _U(hi - lo)))
+            out.append(_by_length(mix64(short + _U(hi - lo)), np.array([total[hi] - total[lo]])))
         else:
             out.append(np.zeros(0, _U))
     return out
