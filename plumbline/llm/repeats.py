@@ -43,7 +43,7 @@ from plumbline.llm.shingles import in_chunks, mix64
 LENGTH = 400
 GRAM = 32
 #: Different segments of one anchor that one task sorts at most.
-BLOCK = 2048
+BLOCK = 1024
 _U = np.uint64
 _K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 SEGMENTS = "rf long, rr long, ah long, sd long, lo long, hi long, at long"

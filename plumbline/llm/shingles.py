@@ -86,13 +86,15 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
 
 def in_chunks(batches: Iterator, column: int, limit: int = 4 << 20) -> Iterator[tuple]:
     """(batch slice, its texts as UTF-8) with about `limit` bytes of text each, or one longer text."""
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(column).to_pylist()]
-        lo = total = 0
-        for i, t in enumerate(texts):
-            if total and total + len(t) > limit:
-                yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, total = i, 0
-            total += len(t)
-        if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
+    for whole in batches:
+        for k in range(0, whole.num_rows, 500):
+            batch = whole.slice(k, 500)
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(column).to_pylist()]
+            lo = total = 0
+            for i, t in enumerate(texts):
+                if total and total + len(t) > limit:
+                    yield batch.slice(lo, i - lo), texts[lo:i]
+                    lo, total = i, 0
+                total += len(t)
+            if lo < len(texts):
+                yield batch.slice(lo), texts[lo:]
