@@ -12,7 +12,8 @@ that a passage in a third of all documents stays out of prefixes.
    shingles are in it changes the work, not the result).
 2. Scan B collapses documents with identical prefix and size into one group and deals the
    groups' prefixes out by shingle, packed. Shingles with several groups of fitting size
-   become buckets. So does a group with several different sets.
+   become buckets, one for all shingles with the same groups. So does a group with several
+   different sets.
 3. Scan C keeps bitmaps of the sets of groups in buckets (a Bloom filter of fixed size, see
    `common.key_filter`, spares the rest; the buckets decide).
 4. Groups are expanded to their different sets (classes; copies are never expanded) and
@@ -163,7 +164,11 @@ def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def buckets_of(t: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, owner, hub, own) of the postings that have another owner of fitting size: own marks groups' own buckets."""
+    """(bucket, owner, weight, own) of the postings that have another owner of fitting size.
+
+    Buckets with the same members are one: a bucket is known by its members' digest and weighs as many
+    shingles as it stands for. own marks groups' own buckets, whose owners are classes.
+    """
     by = np.lexsort((owner, size, t))
     t, owner, size = t[by], owner[by], size[by]
     new = np.ones(len(t), bool)
@@ -176,35 +181,29 @@ def buckets_of(t: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[np.n
     kept = count[run] > 1
     t, owner, size, run = t[kept], owner[kept], size[kept], run[kept]
     if not len(t):
-        return t, owner, owner, np.zeros(0, bool)
+        return t, owner, size, np.zeros(0, bool)
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    hub_at = np.repeat(first, np.diff([*first, len(run)]))
-    # a chain of sizes can outgrow its first member; a new hub starts at the first that does
-    far = size - size[hub_at] > _FIT
-    while far.any():
-        lows = np.flatnonzero(far)
-        firsts = lows[np.concatenate([[True], run[lows][1:] != run[lows][:-1]])]
-        step = np.zeros(len(run), np.int64)
-        step[firsts] = firsts
-        new_hub = np.maximum.accumulate(step)
-        hub_at = np.where(far & (run[new_hub] == run), new_hub, hub_at)
-        far = size - size[hub_at] > _FIT
-    bucket = mix64(t * _U(0x9E3779B97F4A7C15) + size[first][np.cumsum(np.concatenate([[True], run[1:] != run[:-1]])) - 1].astype(_U))
-    return bucket, owner, owner[hub_at], size == 65535
+    last = np.append(first[1:], len(run))
+    own = size == 65535
+    names = np.array([xxhash.xxh3_64_intdigest(owner[lo:hi].tobytes(), seed=int(own[lo])) for lo, hi in zip(first.tolist(), last.tolist(), strict=True)], _U)
+    names, at, weight = np.unique(names, return_index=True, return_counts=True)
+    n = last[at] - first[at]
+    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+    return np.repeat(names, n), owner[rows], np.repeat(weight, n), own[rows]
 
 
 def _bucket_rows(dealt: DataFrame, parts: int) -> DataFrame:
-    """b, g, hub, own: members of buckets."""
+    """b, g, own, w: members of buckets, and how many shingles have that bucket."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for batch in batches for x in batch.column(1).to_pylist()]
         if blobs:
-            b, g, hub, own = buckets_of(*unpack(blobs))
+            b, g, w, own = buckets_of(*unpack(blobs))
             for lo in range(0, len(b), 100_000):
-                cols = [signed(x[lo : lo + 100_000]) for x in (b, g, hub)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(own[lo : lo + 100_000])], names=["b", "g", "hub", "own"])
+                cols = [signed(x[lo : lo + 100_000]) for x in (b, g)] + [w[lo : lo + 100_000].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(own[lo : lo + 100_000])], names=["b", "g", "w", "own"])
 
-    return dealt.repartition(parts, "p").mapInArrow(collect, "b long, g long, hub long, own boolean")
+    return dealt.repartition(parts, "p").mapInArrow(collect, "b long, g long, w long, own boolean").groupBy("b", "g", "own").agg(F.sum("w").alias("w"))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -390,8 +389,8 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     at = new_dir(spark, "jaccard")
     _bucket_rows(_deal(rows, order, parts), parts).write.parquet(f"{at}/buckets")
     release(spark)
-    buckets = spark.read.schema("b long, g long, hub long, own boolean").parquet(f"{at}/buckets")
-    shared = buckets.filter("not own").select("b", "g", "hub")
+    buckets = spark.read.schema("b long, g long, own boolean, w long").parquet(f"{at}/buckets")
+    shared = buckets.filter("not own").select("b", "g", "w")
     wanted = key_filter(buckets.select("g").distinct())  # groups, and for groups' own buckets their classes
     describe(rows, order, wanted).write.parquet(f"{at}/documents")
     docs = spark.read.schema(DOCUMENTS).parquet(f"{at}/documents")
@@ -403,9 +402,9 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     within = names.join(heads.filter("k > 1"), "g").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     # the first round's partner: of the bucket-mates it could link with, the one in the most and largest buckets
     sizes = shared.groupBy("b").agg(F.count("*").alias("k"))
-    fame = cut(shared.join(sizes, "b").groupBy("g").agg(F.sum("k").alias("fame")))
+    fame = cut(shared.join(sizes, "b").groupBy("g").agg(F.sum(F.col("k") * F.col("w")).alias("fame")))
     hubs = shared.join(fame, "g").groupBy("b").agg(F.max(F.struct("fame", "g")).alias("m")).select("b", F.col("m.g").alias("hub"))
-    often = shared.select("b", "g").join(hubs, "b").filter("g <> hub").groupBy("g", "hub").agg(F.count("*").alias("k"))
+    often = shared.join(hubs, "b").filter("g <> hub").groupBy("g", "hub").agg(F.sum("w").alias("k"))
     best = often.groupBy("g").agg(F.max(F.struct("k", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
     first = best.join(heads.select("g", F.col("head").alias("b")), "g").join(heads.select(F.col("g").alias("hub"), F.col("head").alias("a")), "hub").select("a", "b")
     comp = names.select("g", "node", F.col("node").alias("comp"))
