@@ -54,7 +54,7 @@ HOT_MOST = 1_000_000
 _LOG = 4096
 _FIT = round(-math.log(PERCENT / 100) * _LOG) + 2
 _U = np.uint64
-#: Bits of the bitmaps that buckets compare; verification first compares wider ones.
+#: Least bits of the bitmaps that buckets compare; verification first compares wider ones.
 SMALL_BITS = 1024
 #: What scan C writes. node: the row's place, 16 bytes.
 DOCUMENTS = "rf long, rr long, doc_id long, node binary, n long, cls binary, g long, bm binary, wide binary"
@@ -213,6 +213,11 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def small_bytes(n: int) -> int:
+    """Bytes of the bitmap that buckets compare, 0.75 to 1.5 bits for each of n elements: enough to tell different sets of any size apart."""
+    return max(SMALL_BITS, 1 << (3 * n // 4).bit_length()) // 8
+
+
 def fold(bm, size: int) -> np.ndarray:
     """A bitmap narrowed to so many bytes: parities of the bits with equal low places."""
     return np.bitwise_xor.reduce(np.frombuffer(bm, np.uint8).reshape(-1, size), axis=0)
@@ -235,7 +240,7 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *part.columns[:3], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(signed(g)),
-                    pa.array([fold(w, SMALL_BITS // 8).tobytes() if w else None for w in wide], pa.binary()), pa.array(wide, pa.binary()),
+                    pa.array([fold(w, small_bytes(len(s))).tobytes() if w else None for s, w in zip(sets, wide, strict=True)], pa.binary()), pa.array(wide, pa.binary()),
                 ],
                 names=DOCUMENTS.replace(",", "").split(" ")[::2],
             )
@@ -243,8 +248,9 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
     return rows.select("_rf", "_rr", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DOCUMENTS)
 
 
-def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b: nodes) whose sets link: first by bitmaps, then by the sets of what is left, made again from the texts."""
+def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame, compared: bool) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets link: by bitmaps, small ones first unless the pairs were
+    compared by them, then by the sets of what is left, made again from the texts."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +265,11 @@ def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame
                 near &= 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    maps = docs.filter("wide is not null").select("node", "n", "wide")
-    left = pairs.join(maps.toDF("a", "m", "x"), "a").join(maps.toDF("b", "n", "y"), "b")
-    near = cut(left.select("a", "b", "m", "n", "x", "y").mapInArrow(bounded, "a binary, b binary"))
+    near = pairs
+    for bits in ["wide"] if compared else ["bm", "wide"]:
+        maps = docs.filter("wide is not null").select("node", "n", bits)
+        left = near.join(maps.toDF("a", "m", "x"), "a").join(maps.toDF("b", "n", "y"), "b")
+        near = cut(left.select("a", "b", "m", "n", "x", "y").mapInArrow(bounded, "a binary, b binary"))
     docs = docs.select("rf", "rr", "node")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ends = cut(ends.join(docs, "node").select(F.xxhash64("rf", "rr").alias("k")))
@@ -291,7 +299,29 @@ def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame
     return both.mapInArrow(verify, "a binary, b binary")
 
 
-def bucket_pairs(n: np.ndarray, comp: np.ndarray, maps: np.ndarray, best_only: bool) -> list[tuple[int, int, float]]:
+class Maps:
+    """The bitmaps of one bucket's members, in ascending order of size, so that equal widths lie together."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps, widths = maps, np.array([len(m) for m in maps])
+        edge = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(maps)]
+        self.blocks = [(lo, hi, {len(maps[lo]): np.frombuffer(b"".join(maps[lo:hi]), _U).reshape(hi - lo, -1)}) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+
+    def differ(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """In how many bits member i differs from each of the members lo to hi, at the narrower of both widths."""
+        out = np.zeros(hi - lo, np.int64)
+        for first, last, levels in self.blocks:
+            a, z = max(lo, first), min(hi, last)
+            if a < z:
+                size = min(len(self.maps[i]), len(self.maps[first]))
+                if size not in levels:
+                    levels[size] = np.bitwise_xor.reduce(levels[len(self.maps[first])].reshape(last - first, -1, size // 8), axis=1)
+                own = fold(self.maps[i], size).view(_U)
+                out[a - lo : z - lo] = np.bitwise_count(levels[size][a - first : z - first] ^ own).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def bucket_pairs(n: np.ndarray, comp: np.ndarray, maps: Maps, best_only: bool) -> list[tuple[int, int, float]]:
     """(i, j, distance) in one bucket: pairs of different components within the size and bitmap bounds.
 
     With best_only the nearest such pair of each component. Members are in ascending order
@@ -303,7 +333,7 @@ def bucket_pairs(n: np.ndarray, comp: np.ndarray, maps: np.ndarray, best_only: b
     for i in np.flatnonzero(comp != main).tolist():
         lo, hi = np.searchsorted(n, -(-PERCENT * n[i] // 100)), np.searchsorted(n, 100 * n[i] // PERCENT, "right")
         size = n[lo:hi] + n[i]
-        differ = np.bitwise_count(maps[lo:hi] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        differ = maps.differ(i, int(lo), int(hi))
         near = (differ * (100 + PERCENT) <= size * (100 - PERCENT)) & (comp[lo:hi] != comp[i])  # |A - B| + |B - A| <= (1 - t) / (1 + t) (|A| + |B|)
         near = np.flatnonzero(near)
         if not len(near):
@@ -350,14 +380,13 @@ def _pairs_across(members: DataFrame, best_only: bool) -> DataFrame:
         names, node, bm = (table.column(c).to_pylist() for c in ("comp", "node", "bm"))
         ids = {c: i for i, c in enumerate(dict.fromkeys(names))}
         comp = np.array([ids[c] for c in names])
-        maps = np.frombuffer(b"".join(bm), np.uint8).reshape(len(bm), -1).view(_U)
         first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
         found = set()
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
                 continue
             local = np.unique(comp[lo:hi], return_inverse=True)[1]
-            for i, j, d in bucket_pairs(n[lo:hi], local, maps[lo:hi], best_only):
+            for i, j, d in bucket_pairs(n[lo:hi], local, Maps(bm[lo:hi]), best_only):
                 x, y = sorted((node[lo + i], node[lo + j]))
                 if best_only:
                     for c in (names[lo + i], names[lo + j]):
@@ -408,7 +437,7 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     best = often.groupBy("g").agg(F.max(F.struct("k", "hub")).alias("m")).select("g", F.col("m.hub").alias("hub"))
     first = best.join(heads.select("g", F.col("head").alias("b")), "g").join(heads.select(F.col("g").alias("hub"), F.col("head").alias("a")), "hub").select("a", "b")
     comp = names.select("g", "node", F.col("node").alias("comp"))
-    links = cut(links_among(within.unionByName(first), docs, rows))
+    links = cut(links_among(within.unionByName(first), docs, rows, False))
     comp = _merged(comp, links)
     maps = docs.filter("bm is not null").select("node", "n", "bm")
     best_only = True
@@ -418,7 +447,7 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         spread = listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
         mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
         mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
-        links = cut(links_among(_pairs_across(mixed, best_only), docs, rows))
+        links = cut(links_among(_pairs_across(mixed, best_only), docs, rows, True))
         if links.isEmpty():
             if not best_only:
                 break

@@ -77,7 +77,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
         elif hi > lo:
             short = np.zeros(1, _U)
             for k in range(hi - lo):
-                short += words[lo + k] * _MIX[k]
+                short += words[lo + k : lo + k + 1] * _MIX[k]
             out.append(_by_length(mix64(short + _U(hi - lo)), np.array([total[hi] - total[lo]])))
         else:
             out.append(np.zeros(0, _U))
