@@ -20,7 +20,7 @@ that a passage in a third of all documents stays out of prefixes.
    verified in rounds. First each class against one partner, the most connected of the
    buckets they share; then, in buckets that still hold several components, each
    component's nearest pair across components by parity bitmaps, for as long as that finds
-   links; last, all pairs across components that pass the bitmaps' exact bound: the bits in
+   a tenth of the links of the round before; last, all pairs across components that pass the bitmaps' exact bound: the bits in
    which two bitmaps differ are at most the elements in which the sets differ. A component
    of thousands of near copies so costs a few checks per member, not one per pair.
 5. Components come from alternating star steps; only counts reach the driver.
@@ -50,6 +50,8 @@ PERCENT = 75
 FREQUENT = 1000
 HOT_LEAST = 50
 HOT_MOST = 1_000_000
+#: Rounds of nearest pairs end when one finds less than this part of the links of the one before.
+FEWER = 10
 #: Sizes fit when one is at least PERCENT of the other; sizes in postings are rounded logarithms.
 _LOG = 4096
 _FIT = round(-math.log(PERCENT / 100) * _LOG) + 2
@@ -438,7 +440,7 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     first = best.join(heads.select("g", F.col("head").alias("b")), "g").join(heads.select(F.col("g").alias("hub"), F.col("head").alias("a")), "hub").select("a", "b")
     comp = names.select("g", "node", F.col("node").alias("comp"))
     links = cut(links_among(within.unionByName(first), docs, rows, False))
-    comp = _merged(comp, links)
+    comp, found = _merged(comp, links), links.count()
     maps = docs.filter("bm is not null").select("node", "n", "bm")
     best_only = True
     while True:
@@ -448,14 +450,12 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
         mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
         links = cut(links_among(_pairs_across(mixed, best_only), docs, rows, True))
-        if links.isEmpty():
-            if not best_only:
-                break
-            best_only = False  # the nearest pairs no longer link: all others are looked at once
-            continue
-        comp = _merged(comp, links)
+        before, found = found, links.count()
+        if found:
+            comp = _merged(comp, links)
         if not best_only:
             break
+        best_only = found * FEWER > before  # where nearest pairs seldom link any more all others are looked at once
     by_class = cut(comp.join(names.select("node", "cls"), "node").select("cls", F.col("comp").alias("root")))
     return docs.select("rf", "rr", "doc_id", "n", "cls"), by_class, total
 
