@@ -134,7 +134,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     is checkpointed. Only a count per round reaches the driver.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    pairs = cut(pairs)
+    pairs, spark = cut(pairs), links.sparkSession
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -148,6 +148,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if (row[0], row[1]) == state and row[0] == row[2]:
             break
         state, pairs = (row[0], row[1]), nxt
+        del both, least, large, low, small
+        release(spark)
     return nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, cut, hot_join, key_filter, may_hold, new_dir, parallelism, release, ship, with_row_id
+from plumbline.llm.common import components, cut, delete_dir, hot_join, key_filter, may_hold, new_dir, parallelism, release, ship, with_row_id
 from plumbline.llm.shingles import in_chunks, mix64, shingle_sets
 
 PERCENT = 75
@@ -457,6 +457,8 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             break
         best_only = found * FEWER > before  # where nearest pairs seldom link any more all others are looked at once
     by_class = cut(comp.join(names.select("node", "cls"), "node").select("cls", F.col("comp").alias("root")))
+    delete_dir(spark, f"{at}/buckets")
+    release(spark)
     return docs.select("rf", "rr", "doc_id", "n", "cls"), by_class, total
 
 
