@@ -2,8 +2,9 @@
 
 Patterns (kinds `assign`, `access`, `hex`) give the base spans. The battery adds spans of
 kind `random`: runs of 20 or more base64 characters are candidates; each is read in the
-smallest encoding that holds it (hex, base32, base62/64) as a sequence of symbol indices and
-tested against uniform randomness:
+smallest encoding that holds it (hex, base32 and base36 in either case, base62, base64,
+base64url) as a sequence of that alphabet's symbol indices and tested against uniform
+randomness (a run that no encoding holds, with both `+/` and `_-`, over all 66 symbols):
 
 * chi-squared: the symbols' counts against equal counts of the alphabet;
 * runs: the Wald-Wolfowitz number of runs above and below the alphabet's middle;
@@ -40,7 +41,14 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: Candidates of the battery.
 RUN = r"[A-Za-z0-9+/_-]{20,}"
-BITS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"}
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: (alphabet, its characters as a class) of each encoding, from the smallest.
+ENCODINGS = (
+    (_DIGITS + "abcdef", "0-9a-f"), (_DIGITS + "ABCDEF", "0-9A-F"), (_UPPER + "234567", "A-Z2-7"), (_LOWER + "234567", "a-z2-7"), (_DIGITS + _LOWER, "0-9a-z"), (_DIGITS + _UPPER, "0-9A-Z"),
+    (_DIGITS + _UPPER + _LOWER, "0-9A-Za-z"), (_UPPER + _LOWER + _DIGITS + "+/", "0-9A-Za-z+/"), (_UPPER + _LOWER + _DIGITS + "-_", "0-9A-Za-z_-"),
+)
+#: For runs that no encoding holds.
+ANY = _UPPER + _LOWER + _DIGITS + "+/_-"
 ALPHA = 0.01
 FDR = 0.001
 BINS = 400
@@ -145,7 +153,7 @@ def judged_array(text: Column) -> Column:
 
 def _judge_sql(c: str) -> str:
     w = f"{c}.w"
-    alphabet = f"case when {w} rlike '^[0-9a-f]+$' then '{BITS['hex']}' when {w} rlike '^[A-Z2-7]+$' then '{BITS['base32']}' else '{BITS['base64']}' end"
+    alphabet = "case " + " ".join(f"when {w} rlike '^[{held}]+$' then '{symbols}'" for symbols, held in ENCODINGS) + f" else '{ANY}' end"
     mixed = f"({w} rlike '[0-9]' and {w} rlike '[A-Za-z]')"
     verdict = f"named_struct('start', {c}.start, 'ord', {KINDS.index('random')}, 'end', {c}.end, 'kind', 'random', 'log_p', {log_p(w, 'char_length(ab)')}, 'pass', if({mixed}, {battery(w, 'ab')} > {ALPHA}D, false))"
     return _let(alphabet, "ab", verdict)

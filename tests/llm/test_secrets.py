@@ -1,0 +1,49 @@
+"""The battery of the secret scan, for random tokens of each encoding."""
+
+import random
+import string
+
+import pytest
+
+from plumbline.llm import secrets
+
+UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
+ENCODINGS = {
+    "hex": DIGITS + "abcdef", "upper-case hex": DIGITS + "ABCDEF", "base32": UPPER + "234567", "lower-case base32": LOWER + "234567", "base36": DIGITS + LOWER,
+    "upper-case base36": DIGITS + UPPER, "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
+}
+LENGTHS, EACH = (40, 256, 3000), 30
+
+
+def rows_of(seed=5):
+    """(encoding, length, token) of random tokens."""
+    r = random.Random(seed)
+    return [(name, n, "".join(r.choices(chars, k=n))) for name, chars in ENCODINGS.items() for n in LENGTHS for _ in range(EACH)]
+
+
+@pytest.fixture(scope="module")
+def shares(spark):
+    """The share of tokens found, as a span of any kind and as passed by the battery, by encoding and length."""
+    rows = rows_of()
+    docs = spark.createDataFrame([(i, f"der Wert {t} steht hier") for i, (_, _, t) in enumerate(rows)], "doc_id long, text string").cache()
+    passed = {r[0]: r[1] for r in secrets.judged(docs).selectExpr("_id", "_j[0].pass").collect()}
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    out = {}
+    for i, (name, n, _) in enumerate(rows):
+        a, b = out.get((name, n), (0, 0))
+        out[name, n] = a + any(s.split(":")[1:] == ["9", str(9 + n)] for s in found[i].split(",")) / EACH, b + passed[i] / EACH
+    return out
+
+
+@pytest.mark.parametrize("length", LENGTHS)
+@pytest.mark.parametrize("name", ENCODINGS)
+def test_random_tokens_of_each_encoding(shares, name, length):
+    found, passed = shares[name, length]
+    assert passed >= 0.9
+    assert found >= (0.7 if length == 40 else 0.9)  # short runs of lower-case letters weigh less against ordinary text
+
+
+def test_tokens_that_are_not_random(spark):
+    words = ["0123456789abcdef" * 8, "0123456789ABCDEF" * 8, "the_quick_brown_fox_jumps_over_the_lazy_dog_2024", "org/example/service/AbstractUserController2", "A1" * 60]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert [r.n_random for r in secrets.scan(docs).collect()] == [0] * len(words)
