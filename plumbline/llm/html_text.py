@@ -11,8 +11,11 @@ weights, some hundred kilobytes whatever the input, are broadcast. Pages are lab
 they lie: one pass, no shuffle, a page at most with its own length in memory.
 
 Defined results: null or empty html gives an empty text; a page without main text gives an
-empty text; broken or unclosed tags close with their parents; repeated rows get a row each;
-an empty table gives an empty result; extra columns are ignored.
+empty text; broken or unclosed tags close with their parents; raw text (RAW) without its end
+tag reaches to the end of the page, as in browsers; an unclosed head ends at the first tag or
+text that is no head content, other skipped elements without an end tag with their parent, or
+at a block that cannot be theirs; repeated rows get a row each; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,12 @@ from plumbline.llm.common import ship
 PATH, WORDS, SHARES, HIDDEN = 128, 32, 6, 16
 #: Synthetic training pages, and passes over them.
 PAGES, EPOCHS = 700, 5
-SKIPPED = frozenset("script style noscript template head svg iframe object textarea select".split())
+#: Elements whose content is no markup, and those that never are blocks.
+RAW = frozenset("script style iframe textarea".split())
+SKIPPED = RAW | frozenset("noscript template head title svg object select".split())
+#: What a head may hold, and tags that end an unclosed skipped element that cannot hold them.
+HEAD = frozenset("base link meta noscript script style template title".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main nav ol p pre section table ul".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var wbr del ins big strike".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -43,6 +51,27 @@ _part = re.compile(r"[A-Za-z]+")
 _space = re.compile(r"\s+")
 
 
+#: Raw text goes to its end tag; else a start tag of the same name, a body or the head's end come first where the end tag is missing.
+_ends = {t: re.compile(rf"</{t}\s*>" if t in RAW else rf"<(?:(/){t}\s*>|(?:{t}|body|/head)(?=[\s/>]))", re.I) for t in SKIPPED}
+
+
+def _end_of_skipped(stack: list[tuple[str, tuple[str, ...]]], hidden: int, tag: str) -> int | None:
+    """How much of the stack a start tag leaves that ends the unclosed skipped element at hidden; None when it does not."""
+    name = stack[hidden][0]
+    if name == "head":
+        return None if tag in HEAD else hidden
+    up = hidden - 1
+    while up >= 0 and stack[up][0] in INLINE:
+        up -= 1
+    parent = stack[up][0] if up >= 0 else ""
+    within = {t for t, _ in stack[hidden + 1 :]}
+    if parent in CLOSES.get(tag, ()) and not within & (CLOSES[tag] | {"ul", "ol", "dl", "table"}):
+        return hidden
+    if tag in BLOCK and parent == "p":
+        return up
+    return hidden if tag in BLOCK and (name in ("svg", "select", "title") or parent in ("", "html", "body")) else None
+
+
 def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path of names from the root, characters within links) of each leaf block in page order."""
     out: list[tuple[str, tuple[str, ...], int]] = []
@@ -50,6 +79,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     texts: list[str] = []
     linked = at = 0
     path: tuple[str, ...] | None = None
+    hidden: int | None = None  # place in the stack of the outermost skipped element
 
     def flush() -> None:
         nonlocal texts, linked, path
@@ -58,9 +88,17 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             out.append((text, path or (), linked))
         texts, linked, path = [], 0, None
 
+    def leave(n: int) -> None:
+        nonlocal hidden
+        del stack[n:]
+        if hidden is not None and n <= hidden:
+            hidden = None
+
     def take(s: str) -> None:
         nonlocal linked, path
-        if s:
+        if hidden is not None and len(stack) == hidden + 1 and stack[hidden][0] == "head" and s.strip():
+            leave(hidden)
+        if s and hidden is None:
             texts.append(s)
             if s.strip():
                 path = path or tuple(n for _, names in stack for n in names)
@@ -79,18 +117,32 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
             if m[0].startswith("<![CDATA["):
                 take(html.escape(m[0][9:-3]))
             continue
-        if tag in SKIPPED and not m[1]:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        if m[1]:
+            own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if tag not in INLINE and (hidden is None or own is not None and own < hidden):
+                flush()
+            if own is not None:
+                leave(own)
+            continue
+        if hidden is not None:
+            n = _end_of_skipped(stack, hidden, tag)
+            if n is not None:
+                leave(n)
+        empty = m[3].rstrip().endswith("/")
+        if tag in SKIPPED:
+            if empty:
+                continue
+            end = _ends[tag].search(page, at)
+            if tag in RAW:
                 at = end.end() if end else len(page)
+            elif tag != "head" and end and end[1]:
+                at = end.end()
+            else:
+                hidden = len(stack) if hidden is None else hidden
+                stack.append((tag, ()))
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and hidden is None:
             flush()
-        if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-            continue
         if tag in VOID:
             continue
         if tag in CLOSES:
@@ -99,7 +151,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         names = [tag]
         for a in _named.finditer(m[3]):
             names += [f".{w.lower()}" for w in _part.findall(a[1] or a[2] or a[3] or "")]
-        if not m[3].rstrip().endswith("/"):
+        if not empty:
             stack.append((tag, tuple(names)))
     flush()
     return out
