@@ -171,11 +171,10 @@ def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
         for n in path:
             if n not in ("html", "body"):
                 x[i, _hashed(n, PATH)] = 1
-        words = text.split(" ")[:64]  # the vector's words only; the text itself is never cut
-        for w in words:
-            x[i, PATH + _hashed(w.lower(), WORDS)] += 1 / len(words)
+        words = text.lower().split(" ")
+        x[i, PATH : PATH + WORDS] = np.bincount([_hashed(w, WORDS) for w in words], minlength=WORDS) / len(words)
         n = len(text)
-        x[i, PATH + WORDS :] = (np.log1p(n) / 8, min(1.0, linked / n), i / len(blocks), text[-1] in ".!?", sum(c.isdigit() for c in text[:500]) / min(n, 500), np.log1p(len(blocks)) / 8)
+        x[i, PATH + WORDS :] = (np.log1p(n) / 8, min(1.0, linked / n), i / len(blocks), text[-1] in ".!?", sum(map(str.isdigit, text)) / n, np.log1p(len(blocks)) / 8)
     return x
 
 

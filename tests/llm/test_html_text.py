@@ -1,4 +1,6 @@
-"""Pages whose skipped elements lack their end tags."""
+"""Pages whose skipped elements lack their end tags, and the vectors of long blocks."""
+
+import collections
 
 import pytest
 
@@ -51,3 +53,13 @@ def test_article_of_a_page_without_end_of_head():
     net = html_text.trained()
     closed = UNCLOSED["head, body"].replace("<body>", "</head><body>")
     assert html_text.main_texts(net, [UNCLOSED["head, body"]]) == html_text.main_texts(net, [closed]) == [" ".join(KEPT)]
+
+
+def test_vectors_see_the_whole_block():
+    text = "Word " * 300 + "1234567890 " * 200 + "end."
+    words = text.lower().split(" ")
+    (x,) = html_text.vectors([(text, ("p",), 0)])
+    at = html_text.PATH
+    count = collections.Counter(html_text._hash(w, html_text.WORDS) for w in words)
+    assert list(x[at : at + html_text.WORDS]) == pytest.approx([count[k] / len(words) for k in range(html_text.WORDS)], abs=1e-6)
+    assert x[at + html_text.WORDS + 4] == pytest.approx(2000 / len(text), abs=1e-6)
