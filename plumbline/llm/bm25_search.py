@@ -7,9 +7,10 @@
    task builds the inverted index: postings by term with their BM25 impact, and for each
    term the largest impact in each block of BLOCK_ROWS documents.
 4. For a query the sum of its terms' block maxima bounds any score in a block. Blocks with
-   the largest bounds are scored first and set the threshold (the k-th best so far); as in
-   block-max WAND, blocks whose bound does not reach it are never scored. Ties at the
-   threshold are scored, so the k are exact, by score and then document.
+   the largest bounds are scored first, in rounds that each raise the threshold (the k-th best
+   so far); as in block-max WAND, blocks whose bound does not reach it are never scored:
+   postings are looked up by term and block, and theirs are not read. Ties at the threshold
+   are scored, so the k are exact, by score and then document.
 5. The shards' k best are merged by a window with limits before and after the shuffle.
 
 Terms are lower-case (A-Z) runs of anything but ASCII white space, known by 64-bit hashes.
@@ -37,8 +38,8 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_ROWS = 8192
 BLOCK_ROWS = 64
-#: Blocks scored before the threshold prunes the rest.
-FIRST_BLOCKS = 4
+#: Blocks scored before the threshold prunes the rest, and how many times as many each later round scores.
+FIRST_BLOCKS, MORE_BLOCKS = 4, 4
 _U = np.uint64
 
 
@@ -64,23 +65,26 @@ def vectors_of(docs: DataFrame) -> DataFrame:
 
 
 class Index:
-    """One shard: postings by term, block maxima, and scoring."""
+    """One shard: postings by term and block, block maxima, and scoring."""
 
     def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float):
         self.size = len(lengths)
+        # alike documents share blocks, which keeps the blocks' maxima low: by the most frequent term, then length
+        self.own = np.lexsort((lengths, np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts, strict=True)], _U)))
+        lengths, terms, counts = lengths[self.own], [terms[i] for i in self.own], [counts[i] for i in self.own]
         doc = np.repeat(np.arange(self.size), [len(t) for t in terms])
         term, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
         order = np.argsort(term, kind="stable")
         self.doc, self.impact = doc[order], impact[order]
-        self.terms, self.first = np.unique(term[order], return_index=True)
-        self.last = np.append(self.first[1:], len(order))
+        self.terms, first = np.unique(term[order], return_index=True)
         block = self.doc // BLOCK_ROWS
         new = np.ones(len(block), bool)
         new[1:] = (block[1:] != block[:-1]) | (term[order][1:] != term[order][:-1])
         at = np.flatnonzero(new)
         self.block, self.top = block[at], np.maximum.reduceat(self.impact, at) if len(at) else self.impact
-        self.block_first = np.searchsorted(at, self.first)
+        self.first, self.last = at, np.append(at[1:], len(order))
+        self.block_first = np.searchsorted(at, first)
         self.block_last = np.append(self.block_first[1:], len(at))
 
     @staticmethod
@@ -98,23 +102,25 @@ class Index:
         if not len(at):
             return np.zeros(0, int), np.zeros(0)
         rows, own = self._rows(self.block_first[at], self.block_last[at])
-        bound = np.bincount(self.block[rows], self.top[rows] * weights[own], -(-self.size // BLOCK_ROWS)) * (1 + 1e-9)
-        posts, own = self._rows(self.first[at], self.last[at])
-        doc, gain = self.doc[posts], self.impact[posts] * weights[own]
-        best = np.zeros(len(bound), bool)
-        best[np.argsort(-bound)[:FIRST_BLOCKS]] = True
-        score = self._score(doc, gain, best)
-        least = self._kth(score, k)
-        more = ~best & (bound >= least) & (bound > 0)
-        if more.any():
-            score += self._score(doc, gain, more)
+        block, weights = self.block[rows], weights[own]
+        bound = np.bincount(block, self.top[rows] * weights, -(-self.size // BLOCK_ROWS)) * (1 + 1e-9)
+        left, n = np.argsort(-bound)[: np.count_nonzero(bound)], FIRST_BLOCKS
+        score, least = np.zeros(self.size), 0.0
+        while len(left):
+            some = np.zeros(len(bound), bool)
+            some[left[:n]] = True
+            some = some[block]
+            score += self._score(rows[some], weights[some])
             least = self._kth(score, k)
+            left, n = left[n:], n * MORE_BLOCKS
+            left = left[bound[left] >= least]
         found = np.flatnonzero((score > 0) & (score >= least))
-        return found, score[found]
+        return self.own[found], score[found]
 
-    def _score(self, doc: np.ndarray, gain: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        some = blocks[doc // BLOCK_ROWS]
-        return np.bincount(doc[some], gain[some], self.size)
+    def _score(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores from the postings of these terms' blocks only."""
+        posts, own = self._rows(self.first[rows], self.last[rows])
+        return np.bincount(self.doc[posts], self.impact[posts] * weights[own], self.size)
 
     @staticmethod
     def _kth(score: np.ndarray, k: int) -> float:
