@@ -60,8 +60,8 @@ class Vocabulary:
         # the file's white space is Unicode's
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.specials = re.compile("|".join(map(re.escape, special))) if special else None
-        self.fresh: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def from_json(cls, path: str) -> Vocabulary:
@@ -115,18 +115,17 @@ class Vocabulary:
                     heapq.heappush(queue, (found[0], prev, found[1]))
         return [i for i in ids if i >= 0]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
         hit = self.old.get(word)
         if hit is None:
-            ids = self.encode_word(word)
-            hit = np.array(ids, "<u4").tobytes(), " ".join([self.string[i] for i in ids])
+            hit = np.array(self.encode_word(word), "<u4").tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self.fresh) >= CACHE_WORDS:
                 self.old, self.fresh = self.fresh, {}
             self.fresh[word] = hit
         return hit
 
-    def _pieces(self, text: str) -> list[tuple[bytes, str]]:
+    def _pieces(self, text: str) -> list[bytes]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each capital alone, without its place in a word
         words = self.split.findall(text.lower())
@@ -140,22 +139,25 @@ class Vocabulary:
             out.append(hit)
         return out
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, their strings joined by spaces)."""
+    def ids(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if self.specials is None or "<" not in text or not self.specials.search(text):
-            got = self._pieces(text)
-        else:
-            got, at = [], 0
-            for m in self.specials.finditer(text):
-                got += self._pieces(text[at : m.start()])
-                got.append((np.array([self.special[m[0]]], "<u4").tobytes(), m[0]))
-                at = m.end()
-            got += self._pieces(text[at:])
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+            return b"".join(self._pieces(text))
+        got, at = [], 0
+        for m in self.specials.finditer(text):
+            got += self._pieces(text[at : m.start()])
+            got.append(np.array([self.special[m[0]]], "<u4").tobytes())
+            at = m.end()
+        return b"".join(got + self._pieces(text[at:]))
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """(ids, the text decoded from them)."""
+        ids = self.ids(text)
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary's strings of the ids, joined by spaces as the file has no decoder."""
-        return " ".join([self.string[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.string.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -175,16 +177,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = False, ids: boo
         for batch in rows:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                got = [v.encode(t or "") for t in part.column(1).to_pylist()]
-                cols = [part.column(0), [len(a) // 4 for a, _ in got], [hashlib.sha256(a).hexdigest() for a, _ in got]]
-                # decoding goes from the ids: joining the strings that the cache holds for each word's ids is the same text
-                cols.append([hashlib.sha256(s.encode()).hexdigest() for _, s in got])
+                got = [v.ids(t or "") for t in part.column(1).to_pylist()]
+                decoded = [v.decode(a) for a in got]
+                cols = [part.column(0), [len(a) // 4 for a in got], [hashlib.sha256(a).hexdigest() for a in got]]
+                cols.append([hashlib.sha256(s.encode()).hexdigest() for s in decoded])
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
                 if ids:
-                    cols.append([a for a, _ in got])
+                    cols.append(got)
                     kinds.append(pa.binary())
                 if texts:
-                    cols.append([v.decode(a) for a, _ in got])
+                    cols.append(decoded)
                     kinds.append(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds, strict=True)], names=names)
 
