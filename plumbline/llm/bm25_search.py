@@ -1,25 +1,30 @@
-"""5. Exact top-k search: inverted index with block-max dynamic pruning for BM25, by shards.
-
-1. Corpus statistics (documents, mean length, document frequencies) are counted over all
-   documents with partial sums.
-2. Queries get their terms' global weights by a join, so every shard scores alike.
-3. Documents are dealt to shards of some SHARD_ROWS rows, whatever their source. A shard's
-   task builds the inverted index: postings by term with their BM25 impact, and for each
-   term the largest impact in each block of BLOCK_ROWS documents.
-4. For a query the sum of its terms' block maxima bounds any score in a block. Blocks with
-   the largest bounds are scored first, in rounds that each raise the threshold (the k-th best
-   so far); as in block-max WAND, blocks whose bound does not reach it are never scored:
-   postings are looked up by term and block, and theirs are not read. Ties at the threshold
-   are scored, so the k are exact, by score and then document.
+"""5. Exact top-k search: inverted index with block-max WAND pruning for BM25, by shards.
+
+1. One scan writes every document's term counts to the shared folder. Corpus statistics
+   (documents, mean length, document frequencies) are counted over all of them with partial sums.
+2. Queries get their terms' global weights by a join, so every shard scores alike, and go out
+   in batches of some BATCH_TERMS terms (8 MiB): a batch is broadcast, answered and written
+   before the next one, so memory does not depend on the number of queries.
+3. Each task takes its rows as shards of at most SHARD_ROWS documents and SHARD_POSTINGS
+   postings, wherever they lie: nothing is shuffled. A shard is an inverted index: documents in
+   the order of their length, blocks of BLOCK_ROWS neighbours, postings by term and document
+   with their BM25 impact, and for each term the largest impact in each block.
+4. As in block-max WAND, the sum of a query's terms' block maxima bounds every score in a
+   block, and the cursors go to blocks only whose bound reaches the threshold, the k-th best
+   score so far (also that of the task's earlier shards). Bounds of a batch come from one matrix
+   product for the frequent terms and from the postings of the others. Blocks with the largest
+   bounds are scored first, in rounds that raise the threshold; the postings of the rest are
+   never read. Ties at the threshold are scored, so the k are exact.
 5. The shards' k best are merged by a window with limits before and after the shuffle.
 
 Terms are lower-case (A-Z) runs of anything but ASCII white space, known by 64-bit hashes.
-Scores add up in ascending order of terms within a document, as floats of 64 bits.
+A score is the sum over a document's matching terms in ascending order of their hashes, as
+floats of 64 bits, so copies score alike in every shard.
 
 Defined results: null text is empty; documents and queries without terms match nothing and
-give no rows; repeated rows are separate documents and queries known by their doc_id, equal
-scores come in the order of doc_id; an empty table gives an empty result; extra columns are
-ignored.
+give no rows; rows that repeat an id are separate documents and separate queries, null ids
+included; equal scores come in the order of doc_id, nulls first; an empty table gives an empty
+result; very long texts are counted whole, one at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +36,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, ship
+from plumbline.llm.common import cut, delete_dir, new_dir, ship, with_row_id
 from plumbline.llm.shingles import in_chunks, word_hashes
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_ROWS = 8192
-BLOCK_ROWS = 64
+SHARD_ROWS, SHARD_POSTINGS = 8192, 4_000_000
+BLOCK_ROWS = 2
+#: Terms of one batch of queries; the largest query can be above it alone.
+BATCH_TERMS = 500_000
 #: Blocks scored before the threshold prunes the rest, and how many times as many each later round scores.
-FIRST_BLOCKS, MORE_BLOCKS = 4, 4
+FIRST_BLOCKS, MORE_BLOCKS = 32, 64
+#: Terms in at least this share of a shard's documents have their block maxima in a matrix.
+DENSE = 1 / 32
+#: Sums of 32-bit floats may be this much too small.
+SLACK = 1 + 1e-4
 _U = np.uint64
+_LEAST = -(1 << 63)
+VECTORS = "doc_id long, n long, terms binary, counts binary"
 
 
 def term_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -50,132 +63,233 @@ def term_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [np.unique(words[lo:hi], return_counts=True) for lo, hi in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
 
 
-def vectors_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n (words), terms and counts packed, one row per document."""
+def vectors_of(docs: DataFrame, *extra: str) -> DataFrame:
+    """VECTORS, one row per document, after the columns named in extra."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in in_chunks(batches, 1):
+        at = len(extra)
+        for part, texts in in_chunks(batches, at + 1):
             got = term_counts(texts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([int(c.sum()) for _, c in got], pa.int64()), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())],
-                names=["doc_id", "n", "terms", "counts"],
-            )
+            cols = [pa.array([int(c.sum()) for _, c in got], pa.int64()), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(at + 1)), *cols], names=[*extra, "doc_id", "n", "terms", "counts"])
+
+    schema = ", ".join([*(f"{c} long" for c in extra), VECTORS])
+    return docs.selectExpr(*extra, "cast(doc_id as long) as doc_id", "text").mapInArrow(scan, schema)
+
+
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(every position of the ranges, the range of each)."""
+    n = hi - lo
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[own], own
+
+
+class Queries:
+    """A batch: terms of all queries, ascending, and each query's terms as places in them with their weights."""
+
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray]):
+        sizes = [len(t) for t in terms]
+        self.size = len(terms)
+        self.end = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
+        self.terms, place = np.unique(np.concatenate(terms) if sizes else np.zeros(0, _U), return_inverse=True)
+        query = np.repeat(np.arange(self.size), sizes)
+        order = np.lexsort((place, query))
+        self.term, self.weight = place[order], (np.concatenate(weights) if sizes else np.zeros(0))[order]
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(scan, "doc_id long, n long, terms binary, counts binary")
+    def of(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        lo = self.end[q - 1] if q else 0
+        return self.term[lo : self.end[q]], self.weight[lo : self.end[q]]
 
 
 class Index:
-    """One shard: postings by term and block, block maxima, and scoring."""
-
-    def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float):
-        self.size = len(lengths)
-        # alike documents share blocks, which keeps the blocks' maxima low: by the most frequent term, then length
-        self.own = np.lexsort((lengths, np.array([t[np.argmax(c)] if len(t) else 0 for t, c in zip(terms, counts, strict=True)], _U)))
-        lengths, terms, counts = lengths[self.own], [terms[i] for i in self.own], [counts[i] for i in self.own]
-        doc = np.repeat(np.arange(self.size), [len(t) for t in terms])
-        term, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+    """One shard for a batch of queries. `held` and `read` count the postings of the queries' terms and those read to score."""
+
+    def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float, queries: Queries):
+        self.queries, self.size = queries, len(lengths)
+        self.blocks = -(-self.size // BLOCK_ROWS)
+        self.own = np.argsort(lengths, kind="stable")
+        doc = np.repeat(np.arange(self.size), [len(terms[i]) for i in self.own])
+        every = np.concatenate([terms[i] for i in self.own])
+        term = np.minimum(np.searchsorted(queries.terms, every), max(0, len(queries.terms) - 1))
+        asked = queries.terms[term] == every if len(queries.terms) else np.zeros(len(every), bool)
+        doc, term, tf = doc[asked], term[asked], np.concatenate([counts[i] for i in self.own])[asked].astype(float)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.own][doc] / mean))
+        self.forward = (np.searchsorted(doc, np.arange(self.size + 1)), term, impact)
         order = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[order], impact[order]
-        self.terms, first = np.unique(term[order], return_index=True)
-        block = self.doc // BLOCK_ROWS
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (term[order][1:] != term[order][:-1])
-        at = np.flatnonzero(new)
-        self.block, self.top = block[at], np.maximum.reduceat(self.impact, at) if len(at) else self.impact
-        self.first, self.last = at, np.append(at[1:], len(order))
-        self.block_first = np.searchsorted(at, first)
-        self.block_last = np.append(self.block_first[1:], len(at))
-
-    @staticmethod
-    def _rows(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(every position of the ranges, the range of each)."""
-        n = hi - lo
-        own = np.repeat(np.arange(len(n)), n)
-        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[own], own
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) that may be among the k best: all with a score at least the k-th."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        have = self.terms[at] == terms
-        at, weights = at[have], weights[have]
-        if not len(at):
-            return np.zeros(0, int), np.zeros(0)
-        rows, own = self._rows(self.block_first[at], self.block_last[at])
-        block, weights = self.block[rows], weights[own]
-        bound = np.bincount(block, self.top[rows] * weights, -(-self.size // BLOCK_ROWS)) * (1 + 1e-9)
-        left, n = np.argsort(-bound)[: np.count_nonzero(bound)], FIRST_BLOCKS
-        score, least = np.zeros(self.size), 0.0
+        self.doc, self.impact = doc[order].astype(np.int32), impact[order]
+        df = np.bincount(term, minlength=len(queries.terms))
+        self.start = np.concatenate([[0], np.cumsum(df)])
+        frequent = np.flatnonzero(df >= max(BLOCK_ROWS, self.size * DENSE))
+        self.dense = np.full(len(df), -1)
+        self.dense[frequent] = np.arange(len(frequent))
+        rows, own = ranges(self.start[frequent], self.start[frequent + 1])
+        cell = own * self.blocks + self.doc[rows] // BLOCK_ROWS
+        new = np.flatnonzero(np.diff(cell, prepend=-1))
+        top = np.zeros(len(frequent) * self.blocks, np.float32)
+        if len(new):
+            top[cell[new]] = np.maximum.reduceat(self.impact[rows], new) * SLACK
+        self.top = top.reshape(len(frequent), self.blocks)
+        n = np.bincount(cell, minlength=len(top)).reshape(len(frequent), self.blocks)
+        # cursors: how many postings a term has in each block, and where they begin
+        self.counts, self.begins = n.astype(np.uint16).reshape(-1), (np.cumsum(n, axis=1) - n + self.start[frequent][:, None]).astype(np.int32).reshape(-1)
+        self.weights = np.zeros(len(queries.terms))
+        self.held = self.read = 0
+
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """For queries from first to last a bound on the scores in each block."""
+        lo = self.queries.end[first - 1] if first else 0
+        term, weight = self.queries.term[lo : self.queries.end[last - 1]], self.queries.weight[lo : self.queries.end[last - 1]]
+        query = np.searchsorted(self.queries.end, np.arange(lo, self.queries.end[last - 1]), "right") - first
+        dense = self.dense[term]
+        some = dense >= 0
+        w = np.zeros((last - first, len(self.top)), np.float32)
+        w[query[some], dense[some]] = weight[some]
+        rare = ~some
+        rows, own = ranges(self.start[term[rare]], self.start[term[rare] + 1])
+        gain = np.bincount(query[rare][own] * self.blocks + self.doc[rows] // BLOCK_ROWS, self.impact[rows] * weight[rare][own], (last - first) * self.blocks)
+        return (w @ self.top) * SLACK + gain.reshape(last - first, self.blocks) * SLACK
+
+    def search(self, q: int, bound: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores): the shard's documents that score `least` or more and may be among its k best, ties included."""
+        term, weight = self.queries.of(q)
+        self.held += int((self.start[term + 1] - self.start[term]).sum())
+        dense = self.dense[term]
+        some = dense >= 0
+        rare, frequent, common = np.flatnonzero(~some), dense[some] * self.blocks, weight[some]
+        rows, own = ranges(self.start[term[rare]], self.start[term[rare] + 1])
+        rare_doc, rare_gain = self.doc[rows], self.impact[rows] * weight[rare][own]
+        left = np.flatnonzero((bound > 0) & (bound >= least))
+        if len(left) > FIRST_BLOCKS:
+            left = left[np.argpartition(-bound[left], FIRST_BLOCKS)]
+        n, score = FIRST_BLOCKS, np.zeros(self.size)
         while len(left):
-            some = np.zeros(len(bound), bool)
-            some[left[:n]] = True
-            some = some[block]
-            score += self._score(rows[some], weights[some])
-            least = self._kth(score, k)
+            now = left[:n]
+            cell = (frequent[:, None] + now).reshape(-1)
+            held = self.counts[cell]
+            full = np.flatnonzero(held)
+            lo = self.begins[cell[full]]
+            at, own = ranges(lo, lo + held[full])
+            flags = np.zeros(self.blocks, bool)
+            flags[now] = True
+            mine = flags[rare_doc // BLOCK_ROWS]
+            self.read += len(at) + int(mine.sum())
+            gain = self.impact[at] * common[full[own] // len(now)]
+            score += np.bincount(np.concatenate([self.doc[at], rare_doc[mine]]), np.concatenate([gain, rare_gain[mine]]), self.size)
+            if self.size >= k:
+                least = max(least, float(np.partition(score, -k)[-k]))
             left, n = left[n:], n * MORE_BLOCKS
             left = left[bound[left] >= least]
-        found = np.flatnonzero((score > 0) & (score >= least))
-        return self.own[found], score[found]
+        found = np.flatnonzero((score > 0) & (score >= least * (1 - 1e-9)))
+        return self.own[found], self._exact(found, term, weight)
 
-    def _score(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores from the postings of these terms' blocks only."""
-        posts, own = self._rows(self.first[rows], self.last[rows])
-        return np.bincount(self.doc[posts], self.impact[posts] * weights[own], self.size)
+    def _exact(self, docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The documents' scores, each added up in the order of terms."""
+        first, terms, impact = self.forward
+        self.weights[term] = weight
+        out = np.array([float(np.sum(impact[first[d] : first[d + 1]] * self.weights[terms[first[d] : first[d + 1]]])) for d in docs.tolist()])
+        self.weights[term] = 0
+        return out
 
-    @staticmethod
-    def _kth(score: np.ndarray, k: int) -> float:
-        return float(np.partition(score, -k)[-k]) if len(score) >= k else 0.0
 
+def answer(shards: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]], queries: Queries, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, document's id, score) from shards (ids, lengths, terms, counts): k rows per query and shard at most."""
+    least = np.zeros((queries.size, k))  # the k best scores so far
+    for ids, lengths, terms, counts in shards:
+        index = Index(lengths, terms, counts, mean, queries)
+        out = []
+        for first in range(0, queries.size, 128):
+            last = min(first + 128, queries.size)
+            bound = index.bounds(first, last)
+            for q in range(first, last):
+                docs, score = index.search(q, bound[q - first], k, float(least[q, 0]))
+                if len(docs):
+                    best = np.lexsort((ids[docs], -score))[:k]
+                    docs, score = docs[best], score[best]
+                    least[q] = np.sort(np.concatenate([least[q], score]))[-k:]
+                    out.append((np.full(len(docs), q), ids[docs], score))
+        if out:
+            yield tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """(ids, lengths, terms, counts) of shards from rows of VECTORS; a null id becomes the least number."""
+    ids, lengths, terms, counts, held = [], [], [], [], 0
+    for batch in batches:
+        for i, n, t, c in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            if not n:
+                continue
+            ids.append(_LEAST if i is None else i)
+            lengths.append(n)
+            terms.append(np.frombuffer(t, _U))
+            counts.append(np.frombuffer(c, "<u4"))
+            held += len(terms[-1])
+            if len(ids) >= SHARD_ROWS or held >= SHARD_POSTINGS:
+                yield np.array(ids), np.array(lengths), terms, counts
+                ids, lengths, terms, counts, held = [], [], [], [], 0
+    if ids:
+        yield np.array(ids), np.array(lengths), terms, counts
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best documents of each query (columns doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    vectors = vectors_of(docs)
-    row = docs.select(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    total, mean = row[0], float(row[1] or 0) or 1.0
+
+def weighed_queries(vectors: DataFrame, queries: DataFrame, total: int) -> DataFrame:
+    """query_id, terms, weights of each row of queries that has a term of the corpus."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in in_chunks(batches, 0):
-            got = [t for t, _ in term_counts(texts)]
+        for batch in batches:
+            got = [np.frombuffer(x, _U) for x in batch.column(0).to_pylist()]
             terms, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, _U), np.zeros(0, int))
             yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    frequency = docs.select("text").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    frequency = vectors.select("terms").mapInArrow(each, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
                 t = np.frombuffer(x["terms"], np.int64)
                 if len(t):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), x["doc_id"])), pa.array(t), pa.array(np.frombuffer(x["counts"], "<u4").astype(np.int64))], names=["q", "term", "c"])
+                    head = [pa.array([x[c]] * len(t), pa.int64()) for c in ("_rf", "_rr", "doc_id")]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(t), pa.array(np.frombuffer(x["counts"], "<u4").astype(np.int64))], names=["f", "r", "query_id", "term", "c"])
 
-    wanted = vectors_of(queries).filter("doc_id is not null").mapInArrow(spread, "q long, term long, c long")
+    rows = with_row_id(queries.select("doc_id", "text"))
+    wanted = vectors_of(rows, "_rf", "_rr").mapInArrow(spread, "f long, r long, query_id long, term long, c long")
     idf = F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = wanted.join(frequency, "term").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("c") * idf).alias("w")))).alias("t"))
-    weighed = cut(weighed.select("q", F.col("t.term").alias("terms"), F.col("t.w").alias("weights")))
-    shards = max(1, -(-total // SHARD_ROWS))
-    dealt = vectors.filter("n > 0").withColumn("s", F.floor(F.rand(11) * shards).cast("int"))
-    asked = weighed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    joined = wanted.join(frequency, "term").groupBy("f", "r", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("c") * idf).alias("w")))).alias("t"))
+    return joined.select("f", "r", "query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("weights"))
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """query_id, rank, doc_id, score: the k best documents of each query (columns doc_id, text)."""
+    spark = docs.sparkSession
+    ship(spark)
+    at, out = new_dir(spark, "vectors"), new_dir(spark, "best")
+    vectors_of(docs).write.parquet(at)
+    vectors = spark.read.schema(VECTORS).parquet(at)
+    total, mean = vectors.agg(F.count("*"), F.avg("n")).first()
+    mean = mean or 1.0
+    asked = cut(weighed_queries(vectors, queries, total))
+    terms = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+    batches = max(1, -(-terms // BATCH_TERMS))
     schema = "q long, doc_id long, score double"
+    result = "query_id long, rank long, doc_id long, score double"
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
+    spark.createDataFrame([], result).write.parquet(out)
+    for b in range(batches):
+        rows = asked.filter(F.pmod(F.xxhash64("f", "r"), F.lit(batches)) == b).select("query_id", "terms", "weights").toArrow()
+        if not rows.num_rows:
+            continue
+        listed = [(t.values.to_numpy().view(_U), w.values.to_numpy()) for t, w in zip(rows.column("terms"), rows.column("weights"), strict=True)]
+        batch = spark.sparkContext.broadcast(Queries([t for t, _ in listed], [w for _, w in listed]))
+
+        def shard(parts: Iterator[pa.RecordBatch], batch=batch) -> Iterator[pa.RecordBatch]:
+            for q, ids, score in answer(shards_of(parts), batch.value, mean, k):
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=ids == _LEAST), pa.array(score)], names=["q", "doc_id", "score"])
 
-    def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left.column("doc_id").to_numpy(zero_copy_only=False)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            index = Index(left.column("n").to_numpy(), [np.frombuffer(x, _U) for x in left.column("terms").to_pylist()], [np.frombuffer(x, "<u4") for x in left.column("counts").to_pylist()], mean)
-            for q, t, w in zip(right.column("q").to_pylist(), right.column("terms"), right.column("weights"), strict=True):
-                t, w = t.values.to_numpy().view(_U), w.values.to_numpy()
-                by = np.argsort(t)
-                found, score = index.search(t[by], w[by], k)
-                out.append((np.full(len(found), q), ids[found], score))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64(), from_pandas=True), pa.array(cols[2], pa.float64())], names=["q", "doc_id", "score"])
-
-    found = dealt.groupBy("s").cogroup(asked.groupBy("s")).applyInArrow(shard, schema)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "doc_id")
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select(F.col("q").alias("query_id"), F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+        best = vectors.mapInArrow(shard, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        names = spark.createDataFrame([*enumerate(rows.column("query_id").to_pylist())], "q long, query_id long")
+        best = best.join(F.broadcast(names), "q")  # a row per query of the batch
+        best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score")).write.mode("append").parquet(out)
+        batch.destroy()
+    delete_dir(spark, at)
+    return spark.read.schema(result).parquet(out)
 
 
 def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

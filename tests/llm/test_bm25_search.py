@@ -51,24 +51,38 @@ def test_search_equals_brute_force(spark, shard, monkeypatch):
         assert len({d for d, _ in got[q]}) == len(got[q])
 
 
-def test_postings_of_pruned_blocks_are_not_read(monkeypatch):
+def test_postings_of_pruned_blocks_are_not_read():
     docs = corpus()
     got = bm25_search.term_counts([(t or "").encode() for _, t in docs])
     lengths = np.array([int(c.sum()) for _, c in got])
-    index = bm25_search.Index(lengths, [t for t, _ in got], [c for _, c in got], float(lengths.mean()))
     frequency = collections.Counter(int(t) for ts, _ in got for t in ts)
-    read, rows = [], bm25_search.Index._rows
-    monkeypatch.setattr(bm25_search.Index, "_rows", staticmethod(lambda lo, hi: (read.append(int((hi - lo).sum())), rows(lo, hi))[1]))
-    taken = held = 0
-    for q, text in docs[7::60]:
-        terms, counts = got[q]
-        if not len(terms):
-            continue
-        weights = np.array([c * math.log(1 + (DOCS - frequency[int(t)] + 0.5) / (frequency[int(t)] + 0.5)) for t, c in zip(terms, counts, strict=True)])
-        read.clear()
-        found, score = index.search(terms, weights, K)
-        want = scores(docs, text)
+    asked = [q for q in range(7, DOCS, 60) if len(got[q][0])]
+    weights = [np.array([c * math.log(1 + (DOCS - frequency[int(t)] + 0.5) / (frequency[int(t)] + 0.5)) for t, c in zip(*got[q], strict=True)]) for q in asked]
+    index = bm25_search.Index(lengths, [t for t, _ in got], [c for _, c in got], float(lengths.mean()), bm25_search.Queries([got[q][0] for q in asked], weights))
+    bounds = index.bounds(0, len(asked))
+    for i, q in enumerate(asked):
+        found, score = index.search(i, bounds[i], K)
+        want = scores(docs, docs[q][1])
         assert list(score) == pytest.approx([want[d] for d in found])
         assert sorted(score, reverse=True)[:K] == pytest.approx(sorted(want.values(), reverse=True)[:K])
-        taken, held = taken + sum(read[1:]), held + sum(frequency[int(t)] for t in terms)  # the first are entries of blocks
-    assert taken < 0.7 * held
+        place = np.argsort(lengths, kind="stable")
+        best = np.zeros(index.blocks)
+        np.maximum.at(best, np.arange(DOCS) // bm25_search.BLOCK_ROWS, [want.get(d, 0.0) for d in place])
+        assert (bounds[i] >= best).all()
+    assert 0 < index.read < 0.7 * index.held
+    assert index.held == sum(frequency[int(t)] for q in asked for t in got[q][0])
+
+
+def test_odd_rows_and_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(bm25_search, "BATCH_TERMS", 7)
+    docs = [(1, "a b c d"), (2, "a b c d"), (2, "A\tB"), (None, "a b"), (None, None), (3, ""), (4, "x " * 2_500_000), (5, "c d e"), (5, "c d e"), (6, "z y x w v u t s r q")]
+    df = spark.createDataFrame([(*d, 7, "n") for d in docs], "doc_id long, text string, score int, terms string")
+    got = collections.Counter((r.query_id, r.rank, r.doc_id, r.score) for r in bm25_search.search(df, df, 3).collect())
+    want = collections.Counter()
+    numbered = [(i, t) for i, (_, t) in enumerate(docs)]
+    for q, text in docs:
+        best = sorted(((-round(s, 6), -1 if docs[i][0] is None else docs[i][0]) for i, s in scores(numbered, text).items()))[:3]
+        want.update((q, rank, None if d < 0 else d, -s) for rank, (s, d) in enumerate(best, 1))
+    assert got == want
+    none = df.filter("false")
+    assert bm25_search.search(none, df, 3).count() == bm25_search.search(df, none, 3).count() == 0

@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from plumbline.llm import bm25_search, bpe, exact_dedup, html_text, jaccard_join, mixing, quality, repeats, secrets, url_filter
+from plumbline.llm import bpe, exact_dedup, html_text, jaccard_join, mixing, quality, repeats, secrets, url_filter
 from plumbline.llm.entries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -151,18 +151,6 @@ def test_quality_on_labels(spark):
     assert quality.keep_good(odd(spark).selectExpr("*", "source AS lang"), empty).count() == len(ODD)
 
 
-def test_search_is_exact(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    pruned = bm25_search.search(docs, docs.filter("doc_id % 20 = 0"), 5).collect()
-    bm25_search.FIRST_BLOCKS, old = 10_000, bm25_search.FIRST_BLOCKS
-    try:
-        whole = bm25_search.search(docs, docs.filter("doc_id % 20 = 0"), 5).collect()
-    finally:
-        bm25_search.FIRST_BLOCKS = old
-    assert sorted(map(tuple, pruned)) == sorted(map(tuple, whole))
-    assert all(r.doc_id == r.query_id for r in pruned if r.rank == 1) or len(pruned) == 50
-
-
 def test_url_keys(spark):
     df = spark.createDataFrame([("http://a.b.org/x/y?q",), ("nohost",), (None,)], "url string")
     got = [r[0] for r in df.select(url_filter.keys_of(df.url)).collect()]
