@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -10,7 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of the rows counts as hot; at most 1 / HOT_SHARE keys can be.
@@ -19,16 +20,22 @@ HOT_SHARE = 0.001
 BROADCAST_ROWS = 50_000
 
 _own_dir: str | None = None
+_app_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    Ours is on this machine, so it is made for a local master only; a cluster has to name its shared folder.
+    """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="plumbline-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -39,8 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name within the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name within this application's part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _app_dirs:
+        at = f"{shared_dir(spark).rstrip('/')}/plumbline-{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _app_dirs[app] = at
+    return f"{_app_dirs[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def delete_dir(spark: SparkSession, path: str) -> None:
@@ -62,25 +77,77 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """While it holds, jobs send n rows at a time to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(n, int(old)) if int(old) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row_id(df: DataFrame, f: str = "_rf", r: str = "_rr") -> DataFrame:
-    """Adds a stable row identity: a hash of the file's path and the row's place in that file.
-
-    Rows that do not come straight from Parquet files are first written to the shared
-    folder, so that a recomputed task sees the same identities.
-    """
-    spark = df.sparkSession
-    backed = "_metadata" not in df.columns and "_metadata" in df._jdf.queryExecution().analyzed().metadataOutput().toString()
-    backed = backed and "row_index" in df.select("_metadata").schema["_metadata"].dataType.names
-    if not backed:
-        df = df.drop("_metadata")
-        at = new_dir(spark, "rows")
+class Identified:
+    """Rows with a stable identity: df has _rf (a hash of the file's path), _rr (the place in that file), _path and the
+    columns of the original as _c0, _c1 and so on, so that no name of theirs clashes with one of ours."""
+
+    def __init__(self, df: DataFrame, names: list[str]):
+        self.df, self.names = df, names
+
+    def place(self, name: str) -> str:
+        """What the original's column of that name (or of that name in other letters, where none has it exactly) is called here."""
+        found = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name} among {self.names}")
+        return f"_c{found[0]}"
+
+    def col(self, name: str) -> Column:
+        return F.col(self.place(name))
+
+    def select(self, *names: str) -> DataFrame:
+        """_rf, _rr and the columns of those names."""
+        return self.df.select("_rf", "_rr", *[self.col(n).alias(n) for n in names])
+
+    def restore(self, df: DataFrame) -> DataFrame:
+        """The original's columns, by their names, from rows of df."""
+        return df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(self.names)])
+
+
+def _from_files(df: DataFrame) -> bool:
+    """Whether the rows are a selection of one read of files, each file listed once."""
+    if any(c.lower() == "_metadata" for c in df.columns):
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().head()
+    if not plan.nodeName().startswith("LogicalRelation") and "Relation" not in plan.nodeName():
+        return False
+    found = df._jdf.queryExecution().analyzed().metadataOutput().toString()
+    if "_metadata" not in found or "row_index" not in df.select("_metadata").schema["_metadata"].dataType.names:
+        return False
+    files = list(df._jdf.inputFiles())
+    return len(set(files)) == len(files)
+
+
+def identified(df: DataFrame, at: str | None = None) -> Identified:
+    """df's rows with their identity. Rows that are no plain selection from Parquet files are first written to the
+    shared folder (any rows to `at` where it is given), so that a recomputed task sees the same identities."""
+    names = list(df.columns)
+    own = [f"_c{i}" for i in range(len(names))]
+    if at or not _from_files(df):
+        spark = df.sparkSession
+        df = df.toDF(*own)
+        at = at or new_dir(spark, "rows")
         df.write.parquet(at)
         df = spark.read.schema(df.schema).parquet(at)
-    return df.withColumns({f: F.xxhash64(F.col("_metadata.file_path")), r: F.col("_metadata.row_index")})
+    path = F.col("_metadata.file_path")
+    return Identified(df.select("*", F.xxhash64(path), F.col("_metadata.row_index"), path).toDF(*own, "_rf", "_rr", "_path"), names)
 
 
 _shipped: set[str] = set()
@@ -107,20 +174,21 @@ def words_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, by: list[str]) -> DataFrame:
     """left inner-joined to right, which has one row per key and the key's number of left rows in column n.
 
     right is broadcast where it has at most BROADCAST_ROWS rows, counted here. Beyond that
     both sides are shuffled by key and salt: a key with over HOT_SHARE of all rows (at most
     1 / HOT_SHARE keys can have that) is dealt to as many salts as it has such shares.
-    right should be cut (checkpointed): it is read more than once.
+    A row's salt is a hash of its columns `by` (its identity), so a recomputed task deals alike. right should
+    be cut (checkpointed): it is read more than once.
     """
     if right.count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys)
     limit = max(1, int(total * HOT_SHARE))
     salts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
     hot = right.filter(F.col(n) > limit).select(*keys, salts.alias("_salts"))
-    spread = F.floor(F.rand(7) * F.coalesce("_salts", F.lit(1))).cast("int")
+    spread = F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_salts")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(right, [*keys, "_salt"]).drop("_salt")
@@ -199,3 +267,9 @@ def may_hold(keys, blob: bytes):
         return np.zeros(0, bool)
     bits, at = np.frombuffer(blob, np.uint8), _filter_places(keys, len(blob) * 8)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """df, which has none of these names, with _rf and _rr."""
+    rows = identified(df)
+    return rows.df.select("_rf", "_rr", *[rows.col(n).alias(n) for n in rows.names])

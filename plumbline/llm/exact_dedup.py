@@ -12,18 +12,25 @@ Texts are equal when identical after each run of ASCII white space becomes one s
    (hits) the full normalised bytes are grouped again, again combined on the map side; a
    digest whose bytes differ is split by its texts.
 
-Defined results: null text is empty text; empty texts are copies of one another; a null
-doc_id sorts after all others; rows that repeat a doc_id are told apart by their place;
-an empty table gives an empty result; extra columns are ignored by `decide` and kept by
-`dedup`; clashing names of ours start with an underscore.
+With a state folder the rows, the log and the keyed state stay there, and a later batch meets them:
+its rows are decided against all batches so far, and texts of earlier rows are fetched by their
+locators. Without one the state lasts for one call.
+
+Defined results: null text is empty text; empty texts are copies of one another; very long texts
+are compared whole; a null doc_id sorts after all others; rows that repeat a doc_id are told apart
+by their place; an empty table gives an empty result; extra columns, whatever their names, are
+ignored by `decide` and kept by `dedup`. A row kept by an earlier batch is not taken back
+when a later one brings a smaller doc_id; the later row is then kept as well.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, delete_dir, hot_join, new_dir, with_row_id
+from plumbline.llm.common import Identified, cut, delete_dir, hot_join, identified, new_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: The state is on disk, its memory is bounded, and many small stores do not reserve disk ahead.
@@ -40,10 +47,14 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
+def digest(text) -> F.Column:
+    """SHA-256; where texts should share one all the same, `_split` tells them apart."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def _run_state(spark: SparkSession, log_dir: str, schema, state_dir: str) -> None:
     """Streams the log through the keyed state; what is new since the last run is what it reads."""
-    keep = F.min(F.struct((F.col("_id").isNull()).alias("late"), "_id", "_rf", "_rr")).alias("keep")
-    stream = spark.readStream.schema(schema).parquet(log_dir).groupBy("_digest").agg(keep, F.count("*").alias("n"))
+    stream = spark.readStream.schema(schema).parquet(f"{log_dir}/*").groupBy("_digest").agg(least().alias("keep"), F.count("*").alias("n"))
     old = {k: spark.conf.get(k, None) for k in STORE}
     try:
         for k, v in STORE.items():
@@ -62,58 +73,97 @@ def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
     return state.select(F.col("key")[state.schema["key"].dataType.names[0]].alias("_digest"), F.col("value")[value[0]].alias("keep"), F.col("value")[value[1]].alias("n"))
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+
+
+def least() -> F.Column:
+    """The smallest identifier, nulls last, with its locator."""
+    return F.min(F.struct((F.col("_id").isNull()).alias("late"), "_id", "_rf", "_rr"))
+
+
+#: What a state folder knows of a file: the hash in locators, the path, and the column of texts.
+FILES = "_rf long, path string, text string"
+
+
+def _texts(rows: Identified, id_col: str, text_col: str) -> DataFrame:
+    text = rows.df.select("_rf", "_rr", rows.col(id_col).cast("long").alias("_id"), normalised(rows.col(text_col).cast("string")).alias("_text"))
+    return text.withColumn("_digest", digest(F.col("_text")))
+
+
+def _earlier_texts(spark: SparkSession, state_dir: str, places: DataFrame) -> DataFrame:
+    """_digest, _id, _rf, _rr, _text of rows of earlier batches (places: _digest, _id, _rf, _rr), read again by their locators."""
+    places = cut(places)
+    files = spark.read.schema(FILES).parquet(f"{state_dir}/files").dropDuplicates(["_rf"])
+    needed = files.join(places.select("_rf").distinct(), "_rf", "left_semi").collect()  # a row per file that holds such a row
+    out = spark.createDataFrame([], "_rf long, _rr long, _text string")
+    for name in sorted({f["text"] for f in needed}):
+        read = spark.read.parquet(*sorted(f["path"] for f in needed if f["text"] == name))
+        out = out.unionByName(read.select(F.xxhash64(F.col("_metadata.file_path")).alias("_rf"), F.col("_metadata.row_index").alias("_rr"), normalised(F.col(name).cast("string")).alias("_text")))
+    return places.join(out, ["_rf", "_rr"]).select("_digest", "_id", "_rf", "_rr", "_text")
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> tuple[Identified, DataFrame]:
     """(rows with their identity, decisions): decisions has _rf, _rr, _id, _digest, keep, n, kept per row."""
     spark = docs.sparkSession
-    rows = with_row_id(docs)
-    log = rows.select("_rf", "_rr", F.col(id_col).cast("long").alias("_id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("_digest"))
-    log_dir, state_dir = new_dir(spark, "digests"), new_dir(spark, "state")
-    log.write.parquet(log_dir)
-    log = spark.read.schema(log.schema).parquet(log_dir)
-    total = log.count()
-    if total == 0:
+    base, batch = state_dir or new_dir(spark, "digests"), uuid.uuid4().hex
+    rows = identified(docs, f"{base}/rows/{batch}" if state_dir else None)
+    if state_dir:
+        stored = F.lit(rows.place(text_col))
+        rows.df.select("_rf", "_path", stored).distinct().toDF("_rf", "path", "text").write.mode("append").parquet(f"{base}/files")
+    texts = _texts(rows, id_col, text_col)
+    log = texts.select("_rf", "_rr", "_id", "_digest")
+    log.write.parquet(f"{base}/log/{batch}")
+    log = spark.read.schema(log.schema).parquet(f"{base}/log/{batch}")
+    if log.isEmpty():
         empty = log.select("*", F.struct(F.lit(False).alias("late"), "_id", "_rf", "_rr").alias("keep"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("kept"))
         return rows, empty
-    _run_state(spark, log_dir, log.schema, state_dir)
-    state = cut(read_state(spark, state_dir))
-    delete_dir(spark, state_dir)
+    _run_state(spark, f"{base}/log", log.schema, f"{base}/state")
+    state = cut(read_state(spark, f"{base}/state"))
+    if not state_dir:
+        delete_dir(spark, f"{base}/state")
+    total = state.agg(F.sum("n")).first()[0]
 
     hits = state.filter("n > 1").select("_digest", "n")
-    text = rows.select(F.col(id_col).cast("long").alias("_id"), normalised(F.col(text_col)).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    hit_rows = hot_join(text, hits, ["_digest"], "n", total)
+    hit_rows = hot_join(texts, hits, ["_digest"], "n", total, ["_rf", "_rr"]).select("_digest", "_text")
+    decided = hot_join(log, state, ["_digest"], "n", total, ["_rf", "_rr"])
+    if state_dir:
+        places = decided.filter("n > 1").groupBy("_digest").agg(F.first("keep").alias("k")).select("_digest", "k._id", "k._rf", "k._rr")
+        places = places.join(log, ["_rf", "_rr"], "left_anti")
+        hit_rows = hit_rows.unionByName(_earlier_texts(spark, state_dir, places).select("_digest", "_text"))
     # grouping by the text compares full bytes; one row per text and task is shuffled
     classes = hit_rows.groupBy("_digest", "_text").agg(F.count("*").alias("m"))
-    split = classes.groupBy("_digest").agg(F.count("*").alias("c")).filter("c > 1")
-    decided = hot_join(log, state, ["_digest"], "n", total)
-    if split.isEmpty():
-        return rows, decided.withColumn("kept", F.expr("keep._rf = _rf and keep._rr = _rr"))
-    return rows, _split(rows, decided, split, id_col, text_col)
+    split = classes.groupBy("_digest").agg(F.count("*").alias("c")).filter("c > 1").select("_digest")
+    if not split.isEmpty():
+        decided = _split(texts, decided, cut(split), base if state_dir else None)
+    return rows, decided.withColumn("kept", F.expr("keep._rf = _rf and keep._rr = _rr"))
 
 
-def _split(rows: DataFrame, decided: DataFrame, split: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _split(texts: DataFrame, decided: DataFrame, split: DataFrame, state_dir: str | None) -> DataFrame:
     """Decisions where one digest stands for several texts: those rows are grouped by the text itself."""
-    split = cut(split.select("_digest"))
-    own = rows.select("_rf", "_rr", F.col(id_col).cast("long").alias("_id"), normalised(F.col(text_col)).alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    own = cut(own.join(split, "_digest", "left_semi"))
-    by_text = own.groupBy("_digest", "_text").agg(F.min(F.struct((F.col("_id").isNull()).alias("late"), "_id", "_rf", "_rr")).alias("keep"), F.count("*").alias("n"))
+    own = cut(texts.join(split, "_digest", "left_semi"))
+    every = own
+    if state_dir:
+        spark = texts.sparkSession
+        log = spark.read.schema(own.select("_rf", "_rr", "_id", "_digest").schema).parquet(f"{state_dir}/log/*").join(split, "_digest", "left_semi")
+        earlier = _earlier_texts(spark, state_dir, log.join(own, ["_rf", "_rr"], "left_anti"))
+        every = every.unionByName(earlier)
+    by_text = every.groupBy("_digest", "_text").agg(least().alias("keep"), F.count("*").alias("n"))
     redone = own.join(by_text, ["_digest", "_text"]).select("_digest", "_rf", "_rr", "_id", "keep", "n")
-    rest = decided.join(split, "_digest", "left_anti").select(*redone.columns)
-    return rest.unionByName(redone).withColumn("kept", F.expr("keep._rf = _rf and keep._rr = _rr"))
+    return decided.join(split, "_digest", "left_anti").select(*redone.columns).unionByName(redone)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    _, decisions = decide(docs, id_col, text_col)
+    _, decisions = decide(docs, id_col, text_col, state_dir)
     return decisions.select(
         F.col("_id").alias("doc_id"), F.col("keep._id").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.lower(F.hex("_digest")).alias("text_sha256")
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None) -> DataFrame:
     """docs without the rows whose text a kept row has, all columns as they were."""
-    rows, decisions = decide(docs, id_col, text_col)
+    rows, decisions = decide(docs, id_col, text_col, state_dir)
     gone = decisions.filter("not kept").select("_rf", "_rr")
-    return rows.join(gone, ["_rf", "_rr"], "left_anti").select(*docs.columns)
+    return rows.restore(rows.df.join(gone, ["_rf", "_rr"], "left_anti"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

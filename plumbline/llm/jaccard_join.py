@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, cut, delete_dir, hot_join, key_filter, may_hold, new_dir, parallelism, release, ship, with_row_id
+from plumbline.llm.common import components, cut, delete_dir, hot_join, identified, key_filter, may_hold, new_dir, parallelism, release, ship
 from plumbline.llm.shingles import in_chunks, mix64, shingle_sets
 
 PERCENT = 75
@@ -471,7 +471,7 @@ def components_of(rows: DataFrame) -> DataFrame:
     roots = cut(roots.select("cls", "root", "first", "m"))
     best = roots.groupBy("root").agg(F.min("first").alias("best"))
     where = cut(roots.join(best, "root").select("cls", "best", "m"))
-    out = hot_join(named, where, ["cls"], "m", total)
+    out = hot_join(named, where, ["cls"], "m", total, ["rf", "rr"])
     return out.select(
         "rf", "rr", "doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.expr("best.rf = rf and best.rr = rr")).alias("keep")
     )
@@ -479,14 +479,14 @@ def components_of(rows: DataFrame) -> DataFrame:
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    return components_of(with_row_id(docs)).select("doc_id", "n_shingles", "component_id")
+    return components_of(identified(docs).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component (the one with the smallest doc_id), all columns as they were."""
-    rows = with_row_id(docs)
-    gone = components_of(rows).filter("not keep").select(F.col("rf").alias("_rf"), F.col("rr").alias("_rr"))
-    return rows.join(gone, ["_rf", "_rr"], "left_anti").select(*docs.columns)
+    rows = identified(docs)
+    gone = components_of(rows.select("doc_id", "text")).filter("not keep").select(F.col("rf").alias("_rf"), F.col("rr").alias("_rr"))
+    return rows.restore(rows.df.join(gone, ["_rf", "_rr"], "left_anti"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

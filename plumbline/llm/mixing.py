@@ -13,9 +13,11 @@ words; a target stops at `cap` times its source's size and the excess is shared
 weight among the others until none is above.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its
-own; documents with equal keys (equal ids) are ordered by size, whichever comes first then
-gives the same totals; an empty table gives an empty result; extra columns are kept by
-`mix` and ignored by `plan_mix`.
+own; a null doc_id's key comes from the text, so null ids spread over the ranges; documents with
+equal keys (equal ids) are ordered by size and then by a hash of all their columns but maps, so
+only rows that are alike can change places and every partitioning gives the same mix; very long
+texts count as their words; an empty table gives an empty result; extra columns, whatever their
+names, are kept by `mix` and ignored by `plan_mix`.
 """
 
 from __future__ import annotations
@@ -57,14 +59,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return ranked.withColumn("target", F.when(over, full.cast("double")).otherwise(F.col("weight") * F.lit(rate)))
 
 
-def plan_mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken (and the columns in keep)."""
+def _planned(docs: DataFrame, keep: list[Column], weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
+    """One row per document: _id, _size, _source_size, _target, _taken and the columns keep as _k0, _k1 and so on."""
     spark = docs.sparkSession
-    keep = keep or []
+    ident = F.when(F.col("doc_id").isNull(), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = docs.select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), words_count(F.col("text")).alias("_size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("_key"),
-        *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
+        F.md5(F.concat(F.lit(seed + ":"), ident)).alias("_key"), F.xxhash64(*hashed).alias("_tie"),
+        *[c.alias(f"_k{i}") for i, c in enumerate(keep)],
     )
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"), F.sum("_size").alias("source_size"))
     targets = source_targets(sizes, weights, cap)
@@ -74,7 +77,7 @@ def plan_mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int,
     budget = F.floor("target").cast("long")
     targets = cut(
         targets.select(
-            F.col("source").alias("_s"), "source_size", "target", F.least(wanted, F.lit(16**RANGE_DIGITS)).alias("_ranges"),
+            F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.least(wanted, F.lit(16**RANGE_DIGITS)).alias("_ranges"),
             F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).alias("_epochs"),
             budget.alias("_budget"),
         )
@@ -83,34 +86,36 @@ def plan_mix(docs: DataFrame, keep: list[str] | None = None, weights: tuple[int,
     rows = rows.withColumn("_range", F.expr(f"(conv(substring(_key, 1, {RANGE_DIGITS}), 16, 10) * _ranges) div {16**RANGE_DIGITS}")).drop("_ranges")
     totals = rows.groupBy("_s", "_range").agg(F.sum("_size").alias("_t"))
     earlier = totals.select("_s", "_range", (F.sum("_t").over(Window.partitionBy("_s").orderBy("_range")) - F.col("_t")).alias("_base"))
-    within = Window.partitionBy("_s", "_range").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("_s", "_range").orderBy("_key", "_size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_run", F.sum("_size").over(within) - F.col("_size"))
     e = earlier.select(F.col("_s").alias("_es"), F.col("_range").alias("_er"), "_base")
     rows = rows.join(e, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_range") == F.col("_er")))
-    rest = F.col("_budget") - F.col("_epochs") * F.col("source_size")
+    rest = F.col("_budget") - F.col("_epochs") * F.col("_source_size")
     part: Column = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_base") - F.col("_run")))
-    return rows.select(
-        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_epochs") * F.col("_size") + part).cast("long").alias("taken"),
-        *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
-    )
+    return rows.select("_id", "_size", "_source_size", "_target", (F.col("_epochs") * F.col("_size") + part).cast("long").alias("_taken"), *[f"_k{i}" for i in range(len(keep))])
+
+
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    return _planned(docs, [], weights, cap, seed).toDF("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself, columns of docs: a row per epoch in which a document is taken whole; where a source's
     budget ends within a document, that copy has the words up to there, joined by single spaces."""
     cols = docs.columns
-    other = [c for c in cols if c != "doc_id"]
-    plan = plan_mix(docs, keep=other, **settings).filter("taken > 0")
-    whole = F.expr("cast(taken div size as int)")
-    cut_words = F.expr("cast(taken % size as int)")
+    plan = _planned(docs, [F.col(f"`{c}`") for c in cols], weights, cap, seed).filter("_taken > 0")
+    text = F.col(f"_k{cols.index('text')}")
+    whole = F.expr("cast(_taken div _size as int)")
+    cut_words = F.expr("cast(_taken % _size as int)")
     copies = plan.withColumn("_copy", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(cut_words > 0, F.array(cut_words)).otherwise(F.array().cast("array<int>")))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     partial = F.array_join(F.slice(words, 1, F.col("_copy")), " ")
-    text = F.when(F.col("_copy") > 0, partial).otherwise(F.col("text"))
-    out = copies.withColumn("text", text)
+    out = copies.withColumn("_text", F.when(F.col("_copy") > 0, partial).otherwise(text))
+    made = {"text": F.col("_text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_copy") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+        made["n_chars"] = F.when(F.col("_copy") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"_k{cols.index('n_chars')}"))
+    return out.select(*[made.get(c, F.col(f"_k{i}")).alias(c) for i, c in enumerate(cols)])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +125,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

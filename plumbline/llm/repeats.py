@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, key_filter, may_hold, new_dir, parallelism, release, ship, with_row_id
+from plumbline.llm.common import cut, identified, key_filter, may_hold, new_dir, parallelism, release, ship
 from plumbline.llm.shingles import in_chunks, mix64
 
 LENGTH = 400
@@ -392,7 +392,7 @@ def _big_spans(big: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts the kept bytes."""
-    rows = with_row_id(docs)
+    rows = identified(docs).select("doc_id", "text")
     spans = repeated_spans(rows).groupBy("rf", "rr").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     schema = "rf long, rr long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 

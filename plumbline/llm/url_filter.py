@@ -14,7 +14,8 @@ side before they meet their captures.
 Defined results: a null or hostless url matches nothing; a null fetch time matches nothing;
 an add while active and a remove while inactive change nothing; of events on one day the
 removal counts last; repeated rows get a row each; empty tables give no rows or no matches;
-extra columns are ignored.
+extra columns, whatever their names, are ignored; a very long url has no more keys than the
+deepest entry of the list asks for.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, with_row_id
+from plumbline.llm.common import BROADCAST_ROWS, cut, identified
 
 SALTS = 32
 #: FIXED VALUES: the list of the named query, (entry, action, day).
@@ -40,14 +41,19 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(h, r"\.+$", "")
 
 
-def keys_of(url: Column) -> Column:
-    """array<string>: every suffix of the host, and each of them with every prefix of the path."""
+def keys_of(url: Column, labels: int = 1 << 30, depth: int = 1 << 30) -> Column:
+    """array<string>: every suffix of the host, and each of them with every prefix of the path.
+
+    With the most labels and path steps that a list's entries have, longer keys, which can match nothing, are left out.
+    """
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = F.split(host, r"\.")
+    first = F.greatest(F.lit(1), F.size(parts) - labels + 1)
+    suffixes = F.transform(F.sequence(first, F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    heads = F.when(F.size(steps) > 0, F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    most = F.least(F.size(steps), F.lit(depth))
+    heads = F.when(most > 0, F.transform(F.sequence(F.lit(1), most), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     both = F.flatten(F.transform(suffixes, lambda s: F.concat(F.array(s), F.transform(heads, lambda p: F.concat(s, p)))))
     return F.when(host != "", F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
 
@@ -63,24 +69,26 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """One row per capture: id, url, fetched, blocked, entry (the longest that matches, null if none), n_entries."""
-    active = intervals(entries)
-    rows = captures.select("_rf", "_rr", F.col(id_col).alias(id_col), F.col(url_col).alias("url"), F.col(time_col).cast("date").alias("fetched"))
-    each = rows.select("*", F.explode_outer(keys_of(F.col("url"))).alias("key"))
+    active = cut(intervals(entries))
+    size = active.agg(F.count("*"), F.max(F.regexp_count("entry", F.lit(r"\."))), F.max(F.regexp_count("entry", F.lit("/")))).first()
+    found = identified(captures)
+    rows = found.df.select("_rf", "_rr", found.col(id_col).alias("_id"), found.col(url_col).alias("url"), found.col(time_col).cast("date").alias("fetched"))
+    each = rows.select("*", F.explode_outer(keys_of(F.col("url"), (size[1] or 0) + 1, size[2] or 0)).alias("key"))
     near = (F.col("key") == F.col("entry")) & (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    if active.count() <= BROADCAST_ROWS:
+    if size[0] <= BROADCAST_ROWS:
         found = each.join(F.broadcast(active), near, "left")
     else:
         each = each.withColumn("_salt", F.pmod(F.xxhash64("_rf", "_rr"), F.lit(SALTS)))
-        spread = active.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = active.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         found = each.join(spread, near & (F.col("_salt") == F.col("_s")), "left")
     best = F.max(F.when(F.col("entry").isNotNull(), F.struct(F.length("entry").alias("n"), F.col("entry"))))
-    out = found.groupBy("_rf", "_rr", id_col, "url", "fetched").agg(best.alias("best"), F.count("entry").alias("n_entries"))
-    return out.select(id_col, "url", "fetched", (F.col("n_entries") > 0).alias("blocked"), F.col("best.entry").alias("entry"), "n_entries")
+    out = found.groupBy("_rf", "_rr", "_id", "url", "fetched").agg(best.alias("best"), F.count("entry").alias("n_entries"))
+    return out.select(F.col("_id").alias(id_col), "url", "fetched", (F.col("n_entries") > 0).alias("blocked"), F.col("best.entry").alias("entry"), "n_entries")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages against LIST; the pages have no fetch time, so a day of 2024 follows from page_id."""
-    pages = with_row_id(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
     return url_filter(captures, spark.createDataFrame([*LIST], "entry string, action string, day string"))
 
