@@ -3,7 +3,7 @@
 1. One scan writes every document's term counts to the shared folder. Corpus statistics
    (documents, mean length, document frequencies) are counted over all of them with partial sums.
 2. Queries get their terms' global weights by a join, so every shard scores alike, and go out
-   in batches of some BATCH_TERMS terms (8 MiB): a batch is broadcast, answered and written
+   in batches of some BATCH_TERMS terms (16 MB): a batch is broadcast, answered and written
    before the next one, so memory does not depend on the number of queries.
 3. Each task takes its rows as shards of at most SHARD_ROWS documents and SHARD_POSTINGS
    postings, wherever they lie: nothing is shuffled. A shard is an inverted index: documents in
@@ -33,20 +33,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, delete_dir, new_dir, ship, with_row_id
+from plumbline.llm.common import arrow_rows, cut, delete_dir, identified, new_dir, ship
 from plumbline.llm.shingles import in_chunks, word_hashes
 
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_ROWS, SHARD_POSTINGS = 8192, 4_000_000
 BLOCK_ROWS = 2
+#: Rows that go to Python at a time.
+ARROW_ROWS = 1000
 #: Terms of one batch of queries; the largest query can be above it alone.
-BATCH_TERMS = 500_000
+BATCH_TERMS = 1_000_000
 #: Blocks scored before the threshold prunes the rest, and how many times as many each later round scores.
 FIRST_BLOCKS, MORE_BLOCKS = 32, 64
+#: Queries whose bounds come from one matrix product.
+PRODUCT = 512
 #: Terms in at least this share of a shard's documents have their block maxima in a matrix.
 DENSE = 1 / 32
 #: Sums of 32-bit floats may be this much too small.
@@ -68,7 +73,7 @@ def vectors_of(docs: DataFrame, *extra: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = len(extra)
-        for part, texts in in_chunks(batches, at + 1):
+        for part, texts in in_chunks(batches, at + 1, 1 << 20):
             got = term_counts(texts)
             cols = [pa.array([int(c.sum()) for _, c in got], pa.int64()), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(at + 1)), *cols], names=[*extra, "doc_id", "n", "terms", "counts"])
@@ -104,37 +109,39 @@ class Queries:
 class Index:
     """One shard for a batch of queries. `held` and `read` count the postings of the queries' terms and those read to score."""
 
-    def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], mean: float, queries: Queries):
-        self.queries, self.size = queries, len(lengths)
+    def __init__(self, lengths: np.ndarray, sizes: np.ndarray, term: np.ndarray, count: np.ndarray, mean: float, queries: Queries):
+        """lengths (ascending) and sizes: words and postings of each document; term, count: the postings of all, document by document."""
+        self.queries, self.size, self.mean, self.lengths = queries, len(lengths), mean, lengths
         self.blocks = -(-self.size // BLOCK_ROWS)
-        self.own = np.argsort(lengths, kind="stable")
-        doc = np.repeat(np.arange(self.size), [len(terms[i]) for i in self.own])
-        every = np.concatenate([terms[i] for i in self.own])
-        term = np.minimum(np.searchsorted(queries.terms, every), max(0, len(queries.terms) - 1))
-        asked = queries.terms[term] == every if len(queries.terms) else np.zeros(len(every), bool)
-        doc, term, tf = doc[asked], term[asked], np.concatenate([counts[i] for i in self.own])[asked].astype(float)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.own][doc] / mean))
-        self.forward = (np.searchsorted(doc, np.arange(self.size + 1)), term, impact)
+        self.forward = (np.concatenate([[0], np.cumsum(sizes)]), term, count)
         order = np.argsort(term, kind="stable")
-        self.doc, self.impact = doc[order].astype(np.int32), impact[order]
+        self.doc = np.repeat(np.arange(self.size, dtype=np.int32), sizes)[order]
+        tf = count[order].astype(np.float32)
+        del order
+        self.impact = tf * np.float32(K1 + 1) / (tf + self._norm(lengths).astype(np.float32)[self.doc])
+        del tf
         df = np.bincount(term, minlength=len(queries.terms))
         self.start = np.concatenate([[0], np.cumsum(df)])
         frequent = np.flatnonzero(df >= max(BLOCK_ROWS, self.size * DENSE))
-        self.dense = np.full(len(df), -1)
+        self.dense = np.full(len(df), -1, np.int32)
         self.dense[frequent] = np.arange(len(frequent))
-        rows, own = ranges(self.start[frequent], self.start[frequent + 1])
-        cell = own * self.blocks + self.doc[rows] // BLOCK_ROWS
-        new = np.flatnonzero(np.diff(cell, prepend=-1))
-        top = np.zeros(len(frequent) * self.blocks, np.float32)
-        if len(new):
-            top[cell[new]] = np.maximum.reduceat(self.impact[rows], new) * SLACK
-        self.top = top.reshape(len(frequent), self.blocks)
-        n = np.bincount(cell, minlength=len(top)).reshape(len(frequent), self.blocks)
+        self.top = np.zeros((len(frequent), self.blocks), np.float32)
         # cursors: how many postings a term has in each block, and where they begin
-        self.counts, self.begins = n.astype(np.uint16).reshape(-1), (np.cumsum(n, axis=1) - n + self.start[frequent][:, None]).astype(np.int32).reshape(-1)
-        self.weights = np.zeros(len(queries.terms))
+        self.counts, self.begins = np.zeros(self.top.shape, np.uint8), np.zeros(self.top.shape, np.int32)
+        for i, t in enumerate(frequent.tolist()):
+            lo, hi = self.start[t], self.start[t + 1]
+            block = self.doc[lo:hi] // BLOCK_ROWS
+            new = np.flatnonzero(np.diff(block, prepend=-1))
+            self.top[i, block[new]] = np.maximum.reduceat(self.impact[lo:hi], new) * SLACK
+            self.counts[i, block[new]] = np.diff(new, append=hi - lo)
+            self.begins[i, block[new]] = lo + new
+        self.counts, self.begins = self.counts.reshape(-1), self.begins.reshape(-1)
+        self.weights, self.slot = np.zeros(len(queries.terms)), np.full(self.blocks, -1, np.int32)
         self.held = self.read = 0
 
+    def _norm(self, lengths: np.ndarray) -> np.ndarray:
+        return K1 * (1 - B + B * lengths / self.mean)
+
     def bounds(self, first: int, last: int) -> np.ndarray:
         """For queries from first to last a bound on the scores in each block."""
         lo = self.queries.end[first - 1] if first else 0
@@ -144,13 +151,22 @@ class Index:
         some = dense >= 0
         w = np.zeros((last - first, len(self.top)), np.float32)
         w[query[some], dense[some]] = weight[some]
-        rare = ~some
-        rows, own = ranges(self.start[term[rare]], self.start[term[rare] + 1])
-        gain = np.bincount(query[rare][own] * self.blocks + self.doc[rows] // BLOCK_ROWS, self.impact[rows] * weight[rare][own], (last - first) * self.blocks)
-        return (w @ self.top) * SLACK + gain.reshape(last - first, self.blocks) * SLACK
+        out = w @ self.top
+        out *= np.float32(SLACK)
+        rare = np.flatnonzero(~some)
+        for q in range(0, last - first, 64):
+            mine = rare[slice(*np.searchsorted(query[rare], [q, q + 64]))]
+            rows, own = ranges(self.start[term[mine]], self.start[term[mine] + 1])
+            gain = np.bincount((query[mine] - q)[own] * self.blocks + self.doc[rows] // BLOCK_ROWS, self.impact[rows] * weight[mine][own] * SLACK, 64 * self.blocks)
+            out[q : q + 64] += gain.reshape(64, self.blocks)[: last - first - q]
+        return out
 
     def search(self, q: int, bound: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores): the shard's documents that score `least` or more and may be among its k best, ties included."""
+        """(documents, scores): the shard's documents that score `least` or more and may be among its k best, ties included.
+
+        Pruning goes by floats of 32 bits and a threshold lowered by SLACK; the scores are exact.
+        """
+        least /= SLACK
         term, weight = self.queries.of(q)
         self.held += int((self.start[term + 1] - self.start[term]).sum())
         dense = self.dense[term]
@@ -161,7 +177,7 @@ class Index:
         left = np.flatnonzero((bound > 0) & (bound >= least))
         if len(left) > FIRST_BLOCKS:
             left = left[np.argpartition(-bound[left], FIRST_BLOCKS)]
-        n, score = FIRST_BLOCKS, np.zeros(self.size)
+        n, docs, scores = FIRST_BLOCKS, np.zeros(0, np.int64), np.zeros(0)
         while len(left):
             now = left[:n]
             cell = (frequent[:, None] + now).reshape(-1)
@@ -169,36 +185,47 @@ class Index:
             full = np.flatnonzero(held)
             lo = self.begins[cell[full]]
             at, own = ranges(lo, lo + held[full])
-            flags = np.zeros(self.blocks, bool)
-            flags[now] = True
-            mine = flags[rare_doc // BLOCK_ROWS]
-            self.read += len(at) + int(mine.sum())
-            gain = self.impact[at] * common[full[own] // len(now)]
-            score += np.bincount(np.concatenate([self.doc[at], rare_doc[mine]]), np.concatenate([gain, rare_gain[mine]]), self.size)
-            if self.size >= k:
-                least = max(least, float(np.partition(score, -k)[-k]))
+            self.slot[now] = np.arange(len(now)) * BLOCK_ROWS
+            slot = self.slot[rare_doc // BLOCK_ROWS]
+            mine = slot >= 0
+            doc = self.doc[at]
+            place = np.concatenate([self.slot[doc // BLOCK_ROWS] + doc % BLOCK_ROWS, slot[mine] + rare_doc[mine] % BLOCK_ROWS])
+            self.slot[now] = -1
+            self.read += len(place)
+            score = np.bincount(place, np.concatenate([self.impact[at] * common[full[own] // len(now)], rare_gain[mine]]), len(now) * BLOCK_ROWS)
+            good = np.flatnonzero((score > 0) & (score >= least))
+            docs, scores = np.concatenate([docs, now[good // BLOCK_ROWS] * BLOCK_ROWS + good % BLOCK_ROWS]), np.concatenate([scores, score[good]])
+            if len(scores) >= k:
+                least = max(least, float(np.partition(scores, -k)[-k]) / SLACK)
             left, n = left[n:], n * MORE_BLOCKS
             left = left[bound[left] >= least]
-        found = np.flatnonzero((score > 0) & (score >= least * (1 - 1e-9)))
-        return self.own[found], self._exact(found, term, weight)
+        docs = docs[scores >= least]
+        return docs, self._exact(docs, term, weight)
 
     def _exact(self, docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The documents' scores, each added up in the order of terms."""
-        first, terms, impact = self.forward
+        first, terms, counts = self.forward
         self.weights[term] = weight
-        out = np.array([float(np.sum(impact[first[d] : first[d + 1]] * self.weights[terms[first[d] : first[d + 1]]])) for d in docs.tolist()])
+        norm, out = self._norm(self.lengths[docs]), np.zeros(len(docs))
+        for i, d in enumerate(docs.tolist()):
+            tf = counts[first[d] : first[d + 1]].astype(float)
+            out[i] = np.sum(tf * (K1 + 1) / (tf + norm[i]) * self.weights[terms[first[d] : first[d + 1]]])
         self.weights[term] = 0
         return out
 
 
-def answer(shards: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]], queries: Queries, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, document's id, score) from shards (ids, lengths, terms, counts): k rows per query and shard at most."""
+Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def answer(shards: Iterator[Shard], queries: Queries, mean: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, document's id, score) from shards (see shards_of): k rows per query and shard at most."""
     least = np.zeros((queries.size, k))  # the k best scores so far
-    for ids, lengths, terms, counts in shards:
-        index = Index(lengths, terms, counts, mean, queries)
+    for ids, *postings in shards:
+        index = Index(*postings, mean, queries)
+        del postings
         out = []
-        for first in range(0, queries.size, 128):
-            last = min(first + 128, queries.size)
+        for first in range(0, queries.size, PRODUCT):
+            last = min(first + PRODUCT, queries.size)
             bound = index.bounds(first, last)
             for q in range(first, last):
                 docs, score = index.search(q, bound[q - first], k, float(least[q, 0]))
@@ -207,27 +234,50 @@ def answer(shards: Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list
                     docs, score = docs[best], score[best]
                     least[q] = np.sort(np.concatenate([least[q], score]))[-k:]
                     out.append((np.full(len(docs), q), ids[docs], score))
+        del index
         if out:
             yield tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """(ids, lengths, terms, counts) of shards from rows of VECTORS; a null id becomes the least number."""
-    ids, lengths, terms, counts, held = [], [], [], [], 0
+def shards_of(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[Shard]:
+    """(ids, lengths, sizes, term, count) of shards from rows of VECTORS, shortest documents first, with the postings of the queries' terms only.
+
+    A null id becomes the least number; term is the place among the queries' terms.
+    """
+    parts: list[Shard] = []
+    rows = held = 0
     for batch in batches:
-        for i, n, t, c in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-            if not n:
-                continue
-            ids.append(_LEAST if i is None else i)
-            lengths.append(n)
-            terms.append(np.frombuffer(t, _U))
-            counts.append(np.frombuffer(c, "<u4"))
-            held += len(terms[-1])
-            if len(ids) >= SHARD_ROWS or held >= SHARD_POSTINGS:
-                yield np.array(ids), np.array(lengths), terms, counts
-                ids, lengths, terms, counts, held = [], [], [], [], 0
-    if ids:
-        yield np.array(ids), np.array(lengths), terms, counts
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            part = part.filter(pa.compute.greater(part.column(1), 0))
+            if part.num_rows:
+                parts.append(_postings(part, queries))
+                rows, held = rows + part.num_rows, held + len(parts[-1][3])
+            if rows >= SHARD_ROWS or held >= SHARD_POSTINGS:
+                yield _by_length(parts)
+                rows = held = 0
+    if parts:
+        yield _by_length(parts)
+
+
+def _postings(part: pa.RecordBatch, queries: Queries) -> Shard:
+    terms = [np.frombuffer(x.as_buffer(), _U) for x in part.column(2)]
+    every = np.concatenate(terms)
+    at = np.minimum(np.searchsorted(queries.terms, every), max(0, len(queries.terms) - 1)).astype(np.int32)
+    asked = queries.terms[at] == every if len(queries.terms) else np.zeros(len(every), bool)
+    sizes = np.add.reduceat(asked, np.cumsum([0, *map(len, terms[:-1])]), dtype=np.int64)
+    count = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in part.column(3)])[asked]
+    return part.column(0).fill_null(_LEAST).to_numpy().copy(), part.column(1).to_numpy().copy(), sizes, at[asked], count
+
+
+def _by_length(parts: list[Shard]) -> Shard:
+    """The parts as one shard; empties the list."""
+    ids, lengths, sizes, term, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(lengths, kind="stable")
+    begin = (np.cumsum(sizes) - sizes)[order]
+    rows = ranges(begin, begin + sizes[order])[0].astype(np.int32)
+    return ids[order], lengths[order], sizes[order], term[rows], count[rows]
 
 
 def weighed_queries(vectors: DataFrame, queries: DataFrame, total: int) -> DataFrame:
@@ -249,7 +299,7 @@ def weighed_queries(vectors: DataFrame, queries: DataFrame, total: int) -> DataF
                     head = [pa.array([x[c]] * len(t), pa.int64()) for c in ("_rf", "_rr", "doc_id")]
                     yield pa.RecordBatch.from_arrays([*head, pa.array(t), pa.array(np.frombuffer(x["counts"], "<u4").astype(np.int64))], names=["f", "r", "query_id", "term", "c"])
 
-    rows = with_row_id(queries.select("doc_id", "text"))
+    rows = identified(queries.select("doc_id", "text")).select("doc_id", "text")
     wanted = vectors_of(rows, "_rf", "_rr").mapInArrow(spread, "f long, r long, query_id long, term long, c long")
     idf = F.log1p((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     joined = wanted.join(frequency, "term").groupBy("f", "r", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", (F.col("c") * idf).alias("w")))).alias("t"))
@@ -258,6 +308,11 @@ def weighed_queries(vectors: DataFrame, queries: DataFrame, total: int) -> DataF
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, rank, doc_id, score: the k best documents of each query (columns doc_id, text)."""
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):  # rows of some KB each
+        return _search(docs, queries, k)
+
+
+def _search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     at, out = new_dir(spark, "vectors"), new_dir(spark, "best")
@@ -280,10 +335,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         batch = spark.sparkContext.broadcast(Queries([t for t, _ in listed], [w for _, w in listed]))
 
         def shard(parts: Iterator[pa.RecordBatch], batch=batch) -> Iterator[pa.RecordBatch]:
-            for q, ids, score in answer(shards_of(parts), batch.value, mean, k):
+            for q, ids, score in answer(shards_of(parts, batch.value), batch.value, mean, k):
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=ids == _LEAST), pa.array(score)], names=["q", "doc_id", "score"])
 
-        best = vectors.mapInArrow(shard, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        # small splits go to one task, without a shuffle, so that shards are full
+        best = vectors.coalesce(max(1, -(-total // SHARD_ROWS))).mapInArrow(shard, schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         names = spark.createDataFrame([*enumerate(rows.column("query_id").to_pylist())], "q long, query_id long")
         best = best.join(F.broadcast(names), "q")  # a row per query of the batch
         best.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score")).write.mode("append").parquet(out)

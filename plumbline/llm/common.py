@@ -267,9 +267,3 @@ def may_hold(keys, blob: bytes):
         return np.zeros(0, bool)
     bits, at = np.frombuffer(blob, np.uint8), _filter_places(keys, len(blob) * 8)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def with_row_id(df: DataFrame) -> DataFrame:
-    """df, which has none of these names, with _rf and _rr."""
-    rows = identified(df)
-    return rows.df.select("_rf", "_rr", *[rows.col(n).alias(n) for n in rows.names])

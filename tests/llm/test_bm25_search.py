@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import bm25_search
@@ -39,6 +40,7 @@ def scores(docs, query):
 @pytest.mark.parametrize("shard", [700, 8192])
 def test_search_equals_brute_force(spark, shard, monkeypatch):
     monkeypatch.setattr(bm25_search, "SHARD_ROWS", shard)
+    monkeypatch.setattr(bm25_search, "BATCH_TERMS", 5 * shard)
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = collections.defaultdict(list)
@@ -58,17 +60,20 @@ def test_postings_of_pruned_blocks_are_not_read():
     frequency = collections.Counter(int(t) for ts, _ in got for t in ts)
     asked = [q for q in range(7, DOCS, 60) if len(got[q][0])]
     weights = [np.array([c * math.log(1 + (DOCS - frequency[int(t)] + 0.5) / (frequency[int(t)] + 0.5)) for t, c in zip(*got[q], strict=True)]) for q in asked]
-    index = bm25_search.Index(lengths, [t for t, _ in got], [c for _, c in got], float(lengths.mean()), bm25_search.Queries([got[q][0] for q in asked], weights))
+    queries = bm25_search.Queries([got[q][0] for q in asked], weights)
+    vectors = pa.record_batch([pa.array(range(DOCS)), pa.array(lengths), pa.array([t.tobytes() for t, _ in got]), pa.array([c.astype("<u4").tobytes() for _, c in got])], names=["doc_id", "n", "terms", "counts"])
+    ((ids, *postings),) = bm25_search.shards_of(iter([vectors]), queries)
+    index = bm25_search.Index(*postings, float(lengths.mean()), queries)
     bounds = index.bounds(0, len(asked))
     for i, q in enumerate(asked):
         found, score = index.search(i, bounds[i], K)
         want = scores(docs, docs[q][1])
-        assert list(score) == pytest.approx([want[d] for d in found])
+        assert list(score) == pytest.approx([want[d] for d in ids[found]])
         assert sorted(score, reverse=True)[:K] == pytest.approx(sorted(want.values(), reverse=True)[:K])
-        place = np.argsort(lengths, kind="stable")
+        place = ids
         best = np.zeros(index.blocks)
-        np.maximum.at(best, np.arange(DOCS) // bm25_search.BLOCK_ROWS, [want.get(d, 0.0) for d in place])
-        assert (bounds[i] >= best).all()
+        np.maximum.at(best, np.arange(len(ids)) // bm25_search.BLOCK_ROWS, [want.get(d, 0.0) for d in place])
+        assert (bounds[i] >= best).all() and (np.diff(postings[0]) >= 0).all()
     assert 0 < index.read < 0.7 * index.held
     assert index.held == sum(frequency[int(t)] for q in asked for t in got[q][0])
 
