@@ -15,7 +15,9 @@ empty text; broken or unclosed tags close with their parents; raw text (RAW) wit
 tag reaches to the end of the page, as in browsers; an unclosed head ends at the first tag or
 text that is no head content, other skipped elements without an end tag with their parent, or
 at a block that cannot be theirs; repeated rows get a row each; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored. Very long pages take time in proportion to their length, however
+they are broken: markup is found by one scanner that moves forward only, and the open elements'
+names are kept as counts.
 """
 
 from __future__ import annotations
@@ -45,7 +47,12 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var wbr del ins big strike".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>", re.S)
+_name = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: Of a tag what comes before its end or an unclosed quotation, by the quotation marks that count.
+_inside = {
+    "\"'": re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+"""), '"': re.compile(r"""[^">]*+(?:"[^"]*+"[^">]*+)*+"""),
+    "'": re.compile(r"""[^'>]*+(?:'[^']*+'[^'>]*+)*+"""), "": re.compile(r"[^>]*+"),
+}
 _named = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _part = re.compile(r"[A-Za-z]+")
 _space = re.compile(r"\s+")
@@ -55,104 +62,186 @@ _space = re.compile(r"\s+")
 _ends = {t: re.compile(rf"</{t}\s*>" if t in RAW else rf"<(?:(/){t}\s*>|(?:{t}|body|/head)(?=[\s/>]))", re.I) for t in SKIPPED}
 
 
-def _end_of_skipped(stack: list[tuple[str, tuple[str, ...]]], hidden: int, tag: str) -> int | None:
-    """How much of the stack a start tag leaves that ends the unclosed skipped element at hidden; None when it does not."""
-    name = stack[hidden][0]
-    if name == "head":
-        return None if tag in HEAD else hidden
-    up = hidden - 1
-    while up >= 0 and stack[up][0] in INLINE:
-        up -= 1
-    parent = stack[up][0] if up >= 0 else ""
-    within = {t for t, _ in stack[hidden + 1 :]}
-    if parent in CLOSES.get(tag, ()) and not within & (CLOSES[tag] | {"ul", "ol", "dl", "table"}):
-        return hidden
-    if tag in BLOCK and parent == "p":
-        return up
-    return hidden if tag in BLOCK and (name in ("svg", "select", "title") or parent in ("", "html", "body")) else None
-
-
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path of names from the root, characters within links) of each leaf block in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Scanner:
+    """Finds markup from left to right. What a search has found out about the rest of the page is kept, so that
+    unclosed tags, quotations and sections do not make it look through the rest again."""
+
+    def __init__(self, page: str):
+        self.page, self.marks = page, "\"'"
+        self.known: dict[str, tuple[int, re.Match | None]] = {}
+        self.next: dict[str, int] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of a string from `at` on; the page's length where there is none."""
+        if self.next.get(what, -1) < at:
+            found = self.page.find(what, at)
+            self.next[what] = len(self.page) if found < 0 else found
+        return self.next[what]
+
+    def end_of_skipped(self, tag: str, at: int) -> re.Match | None:
+        first, found = self.known.get(tag, (len(self.page) + 1, None))
+        if first > at or found and found.start() < at:
+            found = _ends[tag].search(self.page, at)
+            self.known[tag] = (at, found)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the > that ends a tag. A quotation mark without its partner is no quotation, here and later on."""
+        while self.find(">", at) < len(self.page):
+            end = _inside[self.marks].match(self.page, at).end()
+            if end < len(self.page) and self.page[end] == ">":
+                return end
+            self.marks = self.marks.replace(self.page[end], "") if end < len(self.page) else self.marks[:-1]
+        return len(self.page)
+
+    def token(self, at: int) -> tuple[int, int, str, str]:
+        """(first, end, kind or name, rest) of the next piece of markup: kind is ! for what is passed over and [ for
+        the text rest; a name starts with / in end tags."""
+        page = self.page
+        while (at := self.find("<", at)) < len(page):
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                return at, min(end + 3, len(page)), "!", ""
+            if page.startswith("<![CDATA[", at) and (end := self.find("]]>", at + 9)) < len(page):
+                return at, end + 3, "[", page[at + 9 : end]
+            if page[at + 1 : at + 2] in ("!", "?") and at + 1 < len(page):
+                if (end := self.find(">", at)) < len(page):
+                    return at, end + 1, "!", ""
+            elif m := _name.match(page, at + 1):
+                if (end := self.end_of_tag(m.end())) < len(page):
+                    return at, end + 1, m[0].lower(), page[m.end() : end]
+            at += 1
+        return len(page), len(page), "", ""
+
+
+class Stack:
+    """The open elements: where each name is open, the bits of their names' hashes, and each one's nearest parent that is not inline."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.bits: list[list[int]] = []
+        self.parents: list[int] = []
+        self.open: dict[str, list[int]] = {}
+        self.counts = [0] * PATH
+        self.mask = 0
+
+    def push(self, tag: str, names: list[str]) -> None:
+        at = len(self.tags)
+        up = at - 1
+        self.parents.append(self.parents[up] if up >= 0 and self.tags[up] in INLINE else up)
+        self.tags.append(tag)
+        self.open.setdefault(tag, []).append(at)
+        bits = [_hashed(n, PATH) for n in names if n not in ("html", "body")]
+        self.bits.append(bits)
+        for b in bits:
+            self.counts[b] += 1
+            self.mask |= 1 << b
+
+    def leave(self, n: int) -> None:
+        while len(self.tags) > n:
+            self.open[self.tags.pop()].pop()
+            self.parents.pop()
+            for b in self.bits.pop():
+                self.counts[b] -= 1
+                if not self.counts[b]:
+                    self.mask &= ~(1 << b)
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of that name, -1 without one."""
+        found = self.open.get(tag)
+        return found[-1] if found else -1
+
+    def end_of_skipped(self, hidden: int, tag: str) -> int | None:
+        """How much of the stack a start tag leaves that ends the unclosed skipped element at hidden; None when it does not."""
+        name = self.tags[hidden]
+        if name == "head":
+            return None if tag in HEAD else hidden
+        up = self.parents[hidden]
+        parent = self.tags[up] if up >= 0 else ""
+        if parent in CLOSES.get(tag, ()) and all(self.last(t) <= hidden for t in CLOSES[tag] | {"ul", "ol", "dl", "table"}):
+            return hidden
+        if tag in BLOCK and parent == "p":
+            return up
+        return hidden if tag in BLOCK and (name in ("svg", "select", "title") or parent in ("", "html", "body")) else None
+
+
+def blocks_of(page: str) -> list[tuple[str, int, int]]:
+    """(text, bits of the hashed names from the root, characters within links) of each leaf block in page order."""
+    out: list[tuple[str, int, int]] = []
+    stack, scanner = Stack(), Scanner(page)
     texts: list[str] = []
     linked = at = 0
-    path: tuple[str, ...] | None = None
+    path: int | None = None
     hidden: int | None = None  # place in the stack of the outermost skipped element
 
     def flush() -> None:
         nonlocal texts, linked, path
         text = _space.sub(" ", html.unescape("".join(texts))).strip()
         if text:
-            out.append((text, path or (), linked))
+            out.append((text, path or 0, linked))
         texts, linked, path = [], 0, None
 
     def leave(n: int) -> None:
         nonlocal hidden
-        del stack[n:]
+        stack.leave(n)
         if hidden is not None and n <= hidden:
             hidden = None
 
     def take(s: str) -> None:
         nonlocal linked, path
-        if hidden is not None and len(stack) == hidden + 1 and stack[hidden][0] == "head" and s.strip():
+        if hidden is not None and len(stack.tags) == hidden + 1 and stack.tags[hidden] == "head" and s.strip():
             leave(hidden)
         if s and hidden is None:
             texts.append(s)
             if s.strip():
-                path = path or tuple(n for _, names in stack for n in names)
-                if any(t == "a" for t, _ in stack):
+                path = stack.mask if path is None else path
+                if stack.last("a") >= 0:
                     linked += len(s.strip())
 
     while at < len(page):
-        m = _token.search(page, at)
-        if not m:
-            take(page[at:])
-            break
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                take(html.escape(m[0][9:-3]))
+        first, end, tag, rest = scanner.token(at)
+        take(page[at:first])
+        at = end
+        if tag in ("", "!", "["):
+            if tag == "[":
+                take(html.escape(rest))
             continue
-        if m[1]:
-            own = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in INLINE and (hidden is None or own is not None and own < hidden):
+        if tag[0] == "/":
+            own = stack.last(tag[1:])
+            if tag[1:] not in INLINE and (hidden is None or 0 <= own < hidden):
                 flush()
-            if own is not None:
+            if own >= 0:
                 leave(own)
             continue
         if hidden is not None:
-            n = _end_of_skipped(stack, hidden, tag)
+            n = stack.end_of_skipped(hidden, tag)
             if n is not None:
                 leave(n)
-        empty = m[3].rstrip().endswith("/")
+        empty = rest.rstrip().endswith("/")
         if tag in SKIPPED:
             if empty:
                 continue
-            end = _ends[tag].search(page, at)
+            found = scanner.end_of_skipped(tag, at)
             if tag in RAW:
-                at = end.end() if end else len(page)
-            elif tag != "head" and end and end[1]:
-                at = end.end()
+                at = found.end() if found else len(page)
+            elif tag != "head" and found and found[1]:
+                at = found.end()
             else:
-                hidden = len(stack) if hidden is None else hidden
-                stack.append((tag, ()))
+                hidden = len(stack.tags) if hidden is None else hidden
+                stack.push(tag, [])
             continue
         if tag not in INLINE and hidden is None:
             flush()
         if tag in VOID:
             continue
         if tag in CLOSES:
-            while stack and stack[-1][0] in CLOSES[tag] | INLINE and any(t in CLOSES[tag] for t, _ in stack[-8:]):
-                stack.pop()
-        names = [tag]
-        for a in _named.finditer(m[3]):
-            names += [f".{w.lower()}" for w in _part.findall(a[1] or a[2] or a[3] or "")]
+            while stack.tags and stack.tags[-1] in CLOSES[tag] | INLINE and any(t in CLOSES[tag] for t in stack.tags[-8:]):
+                stack.leave(len(stack.tags) - 1)
         if not empty:
-            stack.append((tag, tuple(names)))
+            names = [tag]
+            for a in _named.finditer(rest):
+                names += [f".{w.lower()}" for w in _part.findall(a[1] or a[2] or a[3] or "")]
+            stack.push(tag, names)
     flush()
     return out
 
@@ -164,13 +253,11 @@ def _hash(s: str, size: int) -> int:
 _hashed = lru_cache(maxsize=100_000)(_hash)
 
 
-def vectors(blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
+def vectors(blocks: list[tuple[str, int, int]]) -> np.ndarray:
     """A row per block."""
     x = np.zeros((len(blocks), PATH + WORDS + SHARES), np.float32)
     for i, (text, path, linked) in enumerate(blocks):
-        for n in path:
-            if n not in ("html", "body"):
-                x[i, _hashed(n, PATH)] = 1
+        x[i, :PATH] = np.unpackbits(np.frombuffer(path.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
         words = text.lower().split(" ")
         x[i, PATH : PATH + WORDS] = np.bincount([_hashed(w, WORDS) for w in words], minlength=WORDS) / len(words)
         n = len(text)

@@ -1,6 +1,7 @@
 """Pages whose skipped elements lack their end tags, and the vectors of long blocks."""
 
 import collections
+import time
 
 import pytest
 
@@ -58,8 +59,30 @@ def test_article_of_a_page_without_end_of_head():
 def test_vectors_see_the_whole_block():
     text = "Word " * 300 + "1234567890 " * 200 + "end."
     words = text.lower().split(" ")
-    (x,) = html_text.vectors([(text, ("p",), 0)])
+    (x,) = html_text.vectors([(text, 1 << html_text._hash("p", html_text.PATH), 0)])
     at = html_text.PATH
     count = collections.Counter(html_text._hash(w, html_text.WORDS) for w in words)
     assert list(x[at : at + html_text.WORDS]) == pytest.approx([count[k] / len(words) for k in range(html_text.WORDS)], abs=1e-6)
     assert x[at + html_text.WORDS + 4] == pytest.approx(2000 / len(text), abs=1e-6)
+
+
+HOSTILE = {
+    "unclosed tags": "<a ", "nested blocks": "<div>x", "unclosed sections": "<![CDATA[ x", "unclosed quotations": "<a href=\"x> y <b title='", "unclosed skipped elements": "<svg><g>x",
+    "ends without starts": "<b>x</i></em>", "lists": "<ul><li>x", "unclosed comments": "<!-- x", "long class names": "<p class='a b c'>x", "open links": "<a>x", "declarations": "<!x <?y ",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_broken_pages_take_linear_time(name):
+    took = []
+    for size in (100_000, 800_000):
+        page = HOSTILE[name] * (size // len(HOSTILE[name]))
+        began = time.process_time()
+        html_text.blocks_of(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_an_unclosed_quotation_costs_one_tag():
+    got = [b[0] for b in html_text.blocks_of(f"<body><p class='x'>A.</p><p title=\"y>B's.</p>{ARTICLE}</body>")]
+    assert got == ["A.", "B's.", *KEPT]
