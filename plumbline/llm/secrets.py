@@ -39,6 +39,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
+#: Matches that one fold gathers.
+CHUNK = 512
 #: Candidates of the battery.
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -77,8 +79,20 @@ def _spans(text: Column, pattern: str, kind: str, least: int, group: int = 0) ->
         hit = F.array(F.struct((acc["at"] + t["g"]).alias("start"), t["s"].alias("size"), t["h"].alias("held")))
         return F.struct((acc["at"] + t["g"] + t["s"]).alias("at"), F.when(ok, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
+    # folds copy what they have gathered at each step: pieces of CHUNK matches keep that linear
+    def pieced(pieces):
+        sums = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda total, t: total + t["g"] + t["s"]))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(pieces, starts, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), zero["out"].alias("out")), step)["out"]))
+
+    def gathered(t):
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(t) - 1) / F.lit(CHUNK)).cast("int")), lambda i: F.slice(t, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.size(t) <= CHUNK, F.aggregate(t, zero, step)["out"]).otherwise(F.element_at(F.transform(F.array(pieces), pieced), 1))
+
+    hits = F.element_at(F.transform(F.array(triples), gathered), 1)
     order = KINDS.index(kind)
-    made = F.transform(F.aggregate(triples, zero, step)["out"], lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("ord"), (m["start"] + m["size"]).alias("end"), F.lit(kind).alias("kind")))
+    made = F.transform(hits, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("ord"), (m["start"] + m["size"]).alias("end"), F.lit(kind).alias("kind")))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     return F.when(F.size(found) > 0, made).otherwise(none)
 
