@@ -2,27 +2,30 @@
 
 A string of LENGTH (400) bytes counts when it starts at another place too, of any document,
 overlaps included. Instead of the suffix array of all bytes at once, suffixes are sorted in
-blocks:
+blocks, one bucket at a time:
 
 1. Buckets. Every window of 400 bytes is assigned the least hash among its 32-byte strings
-   (the leftmost of equals): equal windows get equal anchors at equal offsets, so each bucket
-   of windows with one anchor can be sorted alone. Neighbouring windows share an anchor and
-   form a segment, some 5 for each 1000 bytes.
-2. Anchors that occur once are dropped (counted with partial sums). Where all segments of an
-   anchor are one string, or a segment's very string occurs twice, the whole segment repeats.
-3. Only the different segments of the other anchors go on, one of each. A block of buckets
-   is sorted by anchor, offset and a hash of the window; ties, equal for 400 bytes as far as
-   the hash says, are resolved by the first bytes and by the precomputed ranks of a
-   difference-cover sample (`CoverRanks`), never by walking along the strings.
-4. Buckets with more than BLOCK different segments (a passage that a third of all documents
-   quote within different surroundings) are not gathered at all: ranges of their windows are
-   counted by hashes, and narrowed where only their common bytes agree (`_big_spans`).
+   (the leftmost of equals), its anchor: equal windows get equal anchors at equal offsets, so each
+   bucket of windows with one anchor can be sorted alone. Neighbouring windows share an anchor and
+   form a segment, some 5 for each 1000 bytes. Anchors that occur once are dropped (counted
+   with partial sums).
+2. Copies. Segments of one anchor with one digest are copies and repeat whole; one of each kind
+   goes on, with the number it stands for. An anchor whose segments are all of one kind is done.
+3. Blocks. Whole buckets of up to BLOCK kinds are sorted at a time: the windows of a bucket by the
+   offset of their anchor, then lexicographically, by their first 32 bytes and then, where these tie, by
+   the precomputed ranks of a difference-cover sample of the block (`CoverRanks`), never by
+   walking along the strings. Neighbours in that order that agree for 400 bytes repeat.
+4. A bucket with more kinds (a passage that a third of all documents quote within different
+   surroundings) is split first, until its parts are such blocks: into ranges of 48 windows of one offset,
+   then 6, then 1, and each by the bytes that all windows of the range have in common. A part of one
+   window has one string only.
 
 Spans lead to removals per document; texts travel only for documents with a repeat (a Bloom
-filter of fixed size spares the others, see `common.key_filter`).
+filter of fixed size spares the others, see `common.key_filter`). Joins on anchors deal hot ones to salts.
 
-Defined results: null text has no bytes; texts under 400 bytes lose nothing; repeated rows
-are each other's repeats; an empty table gives an empty result; extra columns are ignored.
+Defined results: null text has no bytes; texts under 400 bytes lose nothing; very long texts are
+scanned whole, one at a time; repeated rows are each other's repeats; an empty table gives an empty
+result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, identified, key_filter, may_hold, new_dir, parallelism, release, ship
+from plumbline.llm.common import cut, hot_join, identified, key_filter, may_hold, new_dir, parallelism, release, ship
 from plumbline.llm.shingles import in_chunks, mix64
 
 LENGTH = 400
 GRAM = 32
-#: Different segments of one anchor that one task sorts at most.
+#: Different segments of one anchor that are sorted as one block at most.
 BLOCK = 1024
 _U = np.uint64
 _K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -127,9 +130,10 @@ def difference_cover(v: int) -> tuple[tuple[int, ...], np.ndarray]:
 
 
 class CoverRanks:
-    """Ranks of the strings at a difference-cover sample's positions, by doubling within the sample.
+    """Lexicographic ranks of the strings at a difference-cover sample's positions, by doubling within the sample.
 
-    Two windows of LENGTH bytes are equal when their first and last bytes are, which a few
+    Windows with one residue modulo V order by their first V bytes, then by the ranks at one common
+    distance (`at`), then by what is left of their LENGTH bytes. Two windows of LENGTH bytes are equal when their first and last bytes are, which a few
     words show, and the sample positions at one common distance from their starts have one
     rank. Memory is a rank for each sample position: under a third of the positions for v = 32.
     """
@@ -142,7 +146,7 @@ class CoverRanks:
         self.cover, self.table = difference_cover(v)
         rows = -(-len(data) // v) + length // v + 2
         data = np.concatenate([data, np.zeros(rows * v - len(data) + 64, np.uint8)])
-        self.words = words_at(data)
+        self.words = words_at(data).byteswap()  # as numbers they compare like their bytes
         self.depth = (length - v) // v * v - v  # a multiple of v; what it leaves uncovered at the end is compared by words
         self.depth = max(v, self.depth)
         at = (np.arange(rows)[:, None] * v + np.array(self.cover)).reshape(-1)
@@ -172,6 +176,11 @@ class CoverRanks:
         out[order] = np.cumsum(new)
         return out
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The rank at the first sample position from each of the positions on."""
+        p = i + self.table[i % self.V, i % self.V]
+        return self.rank[(p // self.V) * len(self.cover) + self.index[p % self.V]]
+
     def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the windows from i and from j are equal."""
         v, w = self.V, self.words
@@ -185,45 +194,49 @@ class CoverRanks:
         return out
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def window_hashes(data: np.ndarray, length: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Polynomial hash, modulo 2**64, of the `length` bytes from each position on."""
-    n = len(data)
-    key = base | 1
-    if key not in _powers or len(_powers[key][0]) < n:
-        size = max(2 * n, 1 << 16)
-        inverse = pow(key, -1, 1 << 64)
-        _powers[key] = np.stack([np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, _U(x))])) for x in (key, inverse)])
-    up, down = _powers[key]
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum((data.astype(_U) + _U(1)) * up[:n])])
-    return mix64((sums[length:] - sums[: n - length + 1]) * down[: n - length + 1])
+def _refined(some: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, groups) in the order of group and key, without those that no other window ties with."""
+    order = np.lexsort((key, group))
+    some, group, key = some[order], group[order], key[order]
+    new = np.ones(len(some), bool)
+    new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+    group = np.cumsum(new)
+    tied = np.bincount(group)[group] > 1
+    return some[tied], group[tied]
 
 
-def sort_block(ah: np.ndarray, lead: np.ndarray, items: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment of a block which of its windows are equal to another's at the same offset from one anchor.
+def sort_block(bucket: np.ndarray, lead: np.ndarray, items: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+    """For each segment of a block which of its windows are equal to another's at the same offset from the anchor.
 
-    ah: anchors' hashes; lead: offset of the anchor from the segment's start.
+    bucket: numbers of the segments' buckets; lead: offset of the anchor from the segment's start. Segments are laid
+    out with their anchors at multiples of CoverRanks.V, so windows that are compared have one residue.
     """
-    data = np.frombuffer(b"".join(items), np.uint8)
+    v = CoverRanks.V
     sizes = np.fromiter(map(len, items), np.int64, len(items))
+    slots = (sizes + 2 * v - 1) // v * v
+    begin = np.cumsum(slots) - slots + (-lead) % v
+    data = np.zeros(int(slots.sum()) + length, np.uint8)
+    for at, item in zip(begin.tolist(), items, strict=True):
+        data[at : at + len(item)] = np.frombuffer(item, np.uint8)
     counts = np.maximum(0, sizes - length + 1)
-    begin = np.cumsum(sizes) - sizes
     member = np.repeat(np.arange(len(items)), counts)
     inner = np.arange(len(member)) - np.repeat(np.cumsum(counts) - counts, counts)
     start = begin[member] + inner
     out = np.zeros(len(member), bool)
-    if len(member) > 1:
-        h = window_hashes(data, length)[start]
-        anchor, offset = ah[member], lead[member] - inner
-        order = np.lexsort((h, offset, anchor))
-        tie = (h[order][1:] == h[order][:-1]) & (offset[order][1:] == offset[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])
-        if tie.any():
-            left, right = order[:-1][tie], order[1:][tie]
-            good = CoverRanks(data, length).same(start[left], start[right])
-            out[left[good]] = True
-            out[right[good]] = True
+    some, group = _refined(np.arange(len(member)), bucket[member], lead[member] - inner)
+    words = words_at(data).byteswap()
+    for k in range(0, v, 8):
+        some, group = _refined(some, group, words[start[some] + k])
+    if len(some):
+        ranks = CoverRanks(data, length)
+        some, group = _refined(some, group, ranks.at(start[some]))
+        for k in [*range(ranks.depth, length - 8, 8), length - 8]:
+            some, group = _refined(some, group, words[start[some] + k])
+    if len(some):
+        next_to = np.flatnonzero(group[1:] == group[:-1])
+        same = ranks.same(start[some[next_to]], start[some[next_to + 1]])
+        out[some[next_to[same]]] = True
+        out[some[next_to[same] + 1]] = True
     return np.split(out, np.cumsum(counts)[:-1])
 
 
@@ -270,123 +283,130 @@ def _texts_with(rows: DataFrame, spans: DataFrame, schema: str, work) -> DataFra
     return texts.join(spans, ["rf", "rr"]).select("rf", "rr", "text", "spans").mapInArrow(apply, schema)
 
 
+ITEMS = "rf long, rr long, bucket long, lo long, lead long, n long, item binary"
+SPANS = "rf long, rr long, s long, e long"
+
+
+def sorted_spans(items: DataFrame) -> DataFrame:
+    """SPANS of the windows that repeat among the kinds of a bucket (ITEMS: at most BLOCK a bucket); kinds with copies are whole already."""
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        for batch in batches:
+            table = pa.concat_tables([*rest, pa.Table.from_batches([batch])])
+            bucket = table.column("bucket").to_numpy()
+            last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on in the next batch
+            yield from blocks(table.slice(0, last))
+            rest = [table.slice(last)]
+        if rest:
+            yield from blocks(rest[0])
+
+    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, until they have BLOCK kinds."""
+        bucket = table.column("bucket").to_numpy()
+        first = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)] if len(bucket) else [0]
+        lo = 0
+        for k in range(1, len(first)):
+            if first[k] - first[lo] >= BLOCK or k == len(first) - 1:
+                part = table.slice(first[lo], first[k] - first[lo])
+                flags = sort_block(part.column("bucket").to_numpy(), part.column("lead").to_numpy(), part.column("item").to_pylist())
+                rf, rr, at = (part.column(c).to_numpy() for c in ("rf", "rr", "lo"))
+                n = part.column("n").to_numpy()
+                got = [(rf[i], rr[i], at[i] + s, at[i] + e + LENGTH) for i, f in enumerate(flags) if n[i] == 1 for s, e in runs(f)]
+                if got:
+                    yield _batch(SPANS, *[np.array(c, np.int64) for c in zip(*got, strict=True)])
+                lo = k
+
+    return items.repartition(4 * parallelism(items.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(sort, SPANS)
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """rf, rr, s, e: byte spans of the rows' texts that are to go; they may overlap."""
+    """SPANS of the rows' texts that are to go; they may overlap."""
     spark = rows.sparkSession
     ship(spark)
     at = new_dir(spark, "repeats")
     find_segments(rows).write.parquet(f"{at}/segments")
     all_segments = spark.read.schema(SEGMENTS).parquet(f"{at}/segments")
-    anchors = all_segments.groupBy("ah").agg(F.count("*").alias("n"), F.min("sd").alias("x"), F.max("sd").alias("y")).filter("n > 1")
-    anchors = cut(anchors.select("ah", (F.col("x") != F.col("y")).alias("mixed")))
+    anchors = all_segments.groupBy("ah").agg(F.count("*").alias("m"), F.min("sd").alias("x"), F.max("sd").alias("y")).filter("m > 1")
+    anchors = cut(anchors.select("ah", "m", (F.col("x") != F.col("y")).alias("mixed")))
+    total = anchors.agg(F.sum("m")).first()[0] or 1
     wanted = key_filter(anchors.select("ah"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(may_hold(batch.column(2).to_numpy().view(_U), wanted.value)))
 
-    common = all_segments.mapInArrow(shared, SEGMENTS).join(anchors, "ah")
+    identity = ["rf", "rr", "lo"]
+    common = hot_join(all_segments.mapInArrow(shared, SEGMENTS), anchors, ["ah"], "m", total, identity).drop("m")
     common.write.parquet(f"{at}/common")
     release(spark)
-    common = spark.read.schema(SEGMENTS + ", mixed boolean").parquet(f"{at}/common")
+    common = spark.read.schema(common.schema).parquet(f"{at}/common")
     whole = lambda df: df.select("rf", "rr", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
 
     mixed = common.filter("mixed")
     place = F.struct("rf", "rr", "lo", "hi", "at")
     kinds = cut(mixed.groupBy("ah", "sd").agg(F.count("*").alias("n"), F.min(place).alias("one")))
-    copies = mixed.join(kinds.filter("n > 1").select("ah", "sd"), ["ah", "sd"])
-    sizes = kinds.groupBy("ah").agg(F.count("*").alias("c"))
-    single = kinds.join(sizes, "ah").select("ah", "n", "c", "one.*")
+    copies = hot_join(mixed, kinds.filter("n > 1").select("ah", "sd", "n"), ["ah", "sd"], "n", total, identity)
+    sizes = cut(kinds.groupBy("ah").agg(F.count("*").alias("c")))
+    single = hot_join(kinds, sizes, ["ah"], "c", total, ["sd"]).select("ah", "n", "c", "one.*")
 
     spans = single.groupBy("rf", "rr").agg(F.collect_list(F.struct("ah", "lo", "hi", "at", "n", (F.col("c") > BLOCK).alias("big"))).alias("spans"))
-    cut_schema = "rf long, rr long, ah long, lo long, lead long, n long, big boolean, item binary"
+    cut_schema = f"{ITEMS}, big boolean"
 
     def pick(texts, lists, part) -> pa.RecordBatch:
         rf, rr = part.column(0).to_pylist(), part.column(1).to_pylist()
-        got = [(rf[i], rr[i], x["ah"], x["lo"], x["at"] - x["lo"], x["n"], x["big"], texts[i][x["lo"] : x["hi"] + LENGTH]) for i, xs in enumerate(lists) for x in xs]
+        got = [(rf[i], rr[i], x["ah"], x["lo"], x["at"] - x["lo"], x["n"], texts[i][x["lo"] : x["hi"] + LENGTH], x["big"]) for i, xs in enumerate(lists) for x in xs]
         cols = list(zip(*got, strict=True)) if got else [()] * 8
-        kinds_ = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+        kinds_ = [pa.int64()] * 6 + [pa.binary(), pa.bool_()]
         return _batch(cut_schema, *[pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)])
 
     _texts_with(rows, cut(spans), cut_schema, pick).write.parquet(f"{at}/items")
     release(spark)
     items = spark.read.schema(cut_schema).parquet(f"{at}/items")
-    span_schema = "rf long, rr long, s long, e long"
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.Table] = []
-        for batch in batches:
-            table = pa.concat_tables([*rest, pa.Table.from_batches([batch])])
-            ah = table.column("ah").to_numpy()
-            last = int(np.searchsorted(ah, ah[-1])) if len(ah) else 0  # the last bucket may go on in the next batch
-            yield from blocks(table.slice(0, last))
-            rest = [table.slice(last)]
-        if rest:
-            yield from blocks(rest[0])
-
-    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        """About 2 MB of whole buckets at a time."""
-        ah = table.column("ah").to_numpy()
-        first = [*np.flatnonzero(np.concatenate([[True], ah[1:] != ah[:-1]])).tolist(), len(ah)] if len(ah) else [0]
-        lo = 0
-        for k in range(1, len(first)):
-            if first[k] - first[lo] >= BLOCK or k == len(first) - 1:
-                part = table.slice(first[lo], first[k] - first[lo])
-                flags = sort_block(part.column("ah").to_numpy(), part.column("lead").to_numpy(), part.column("item").to_pylist())
-                rf, rr, at_ = (part.column(c).to_numpy() for c in ("rf", "rr", "lo"))
-                n = part.column("n").to_numpy()
-                got = [(rf[i], rr[i], at_[i] + s, at_[i] + e + LENGTH) for i, f in enumerate(flags) if n[i] == 1 for s, e in runs(f)]
-                if got:
-                    yield _batch(span_schema, *[np.array(c, np.int64) for c in zip(*got, strict=True)])
-                lo = k
-
-    small = items.filter("not big").repartition(4 * parallelism(spark), "ah").sortWithinPartitions("ah").mapInArrow(sort, span_schema)
-    out = whole(common.filter("not mixed")).unionByName(whole(copies)).unionByName(small)
-    big = items.filter("big")
-    if not big.isEmpty():
-        out = out.unionByName(_big_spans(big))
-    return out
+    out = whole(common.filter("not mixed")).unionByName(whole(copies)).unionByName(sorted_spans(items.filter("not big").drop("big")))
+    big = items.filter("big").drop("big")
+    return out if big.isEmpty() else out.unionByName(_split_buckets(big, total))
 
 
-def _big_spans(big: DataFrame) -> DataFrame:
-    """Spans of buckets too large for a block, by ranges of windows instead of gathering the bucket.
+def _split_buckets(big: DataFrame, total: int) -> DataFrame:
+    """SPANS of buckets of over BLOCK kinds (ITEMS), which are split until their parts are blocks to sort.
 
-    Ranges of 48 windows, then 6, then 1, are aligned to their offset from the anchor. Ranges
-    whose bytes are equal repeat whole; of the others, those that share the bytes common to
-    all windows of the range (by hashes) are looked at in smaller ranges, one of each kind.
-    Counts have partial sums, so no group is gathered.
+    Ranges of 48 windows, then 6, then 1, are aligned to their offset from the anchor. Equal ranges are copies
+    (compared by their bytes) and repeat whole. Of the others one of each kind goes on, in parts that share the bytes
+    common to all windows of a range. Counts have partial sums, so no group is gathered.
     """
-    schema = "ah long, c long, g long, t long, rf long, rr long, lo long, k0 long, k1 long, n long"
     digest = xxhash.xxh3_64_intdigest
-    items = cut(big.select("rf", "rr", "lo", "ah", "lead", "item"))
-    todo = big.select("rf", "rr", "lo", F.lit(0).cast("long").alias("k0"), (F.octet_length("item") - LENGTH).cast("long").alias("k1"), "n")
-    spans = None
+    schema = "ah long, c long, g long, lead long, rf long, rr long, lo long, n long, item binary"
+    spans, todo = None, big.withColumnRenamed("bucket", "ah")
     for width in (48, 6, 1):
 
         def split(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = []
                 for x in batch.to_pylist():
-                    lead, item, k = x["lead"], x["item"], x["k0"]
-                    while k <= x["k1"]:
+                    lead, item, k, most = x["lead"], x["item"], 0, len(x["item"]) - LENGTH
+                    while k <= most:
                         c = (lead - k) // width  # offsets fall as windows advance
-                        end = min(x["k1"], lead - c * width)
+                        end = min(most, lead - c * width)
                         first, last = lead - (c * width + width - 1), lead - c * width  # windows of the whole range
-                        common = item[last : first + LENGTH]
-                        got.append((x["ah"], c, digest(common), digest(item[k : end + LENGTH], seed=lead - k), x["rf"], x["rr"], x["lo"], k, end, x["n"]))
+                        got.append((x["ah"], c, digest(item[last : first + LENGTH]), lead - k, x["rf"], x["rr"], x["lo"] + k, x["n"], item[k : end + LENGTH]))
                         k = end + 1
                 if got:
                     cols = list(zip(*got, strict=True))
-                    yield _batch(schema, *[np.array(v, _U).view(np.int64) if i in (2, 3) else np.array(v, np.int64) for i, v in enumerate(cols)])
-
-        keys = ["ah", "c", "g", "t"]
-        rows = cut(todo.join(items, ["rf", "rr", "lo"]).mapInArrow(split, schema))
-        kinds = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min(F.struct("rf", "rr", "lo", "k0", "k1")).alias("one")))
-        found = rows.filter("n = 1").join(kinds.filter("n > 1").select(*keys), keys)
-        found = found.select("rf", "rr", (F.col("lo") + F.col("k0")).alias("s"), (F.col("lo") + F.col("k1") + LENGTH).alias("e"))
+                    yield _batch(schema, *[pa.array(v, pa.binary()) if i == 8 else np.array(v, _U).view(np.int64) if i == 2 else np.array(v, np.int64) for i, v in enumerate(cols)])
+
+        keys = ["ah", "c", "g", "lead", "item"]
+        rows = cut(todo.select("ah", "lead", "item", "rf", "rr", "lo", "n").mapInArrow(split, schema))
+        kinds = cut(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.min(F.struct("rf", "rr", "lo")).alias("one")))
+        again = kinds.filter("n > 1").select(*keys, "m").withColumn("h", F.xxhash64(*keys))
+        found = hot_join(rows.filter("n = 1").drop("n").withColumn("h", F.xxhash64(*keys)), cut(again), ["h", *keys], "m", total, ["rf", "rr", "lo"])
+        found = found.select("rf", "rr", F.col("lo").alias("s"), (F.col("lo") + F.octet_length("item")).cast("long").alias("e"))
         spans = found if spans is None else spans.unionByName(found)
-        near = kinds.groupBy("ah", "c", "g").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-        todo = kinds.join(near, ["ah", "c", "g"]).select("one.*", "n")
+        parts = cut(kinds.groupBy("ah", "c", "g").agg(F.count("*").alias("k")).filter("k > 1"))
+        near = hot_join(kinds, parts, ["ah", "c", "g"], "k", total, ["lead", "item"]).select("ah", "c", "g", "lead", "item", "n", "k", "one.*")
+        fit = near.filter(F.col("k") <= BLOCK).select("rf", "rr", F.xxhash64("ah", "c", "g").alias("bucket"), "lo", "lead", "n", "item")
+        spans = spans.unionByName(sorted_spans(fit))
+        todo = near.filter(F.col("k") > BLOCK).select("rf", "rr", "ah", "lo", "lead", "n", "item")
     return spans
 
 
