@@ -94,7 +94,7 @@ def parallelism(spark: SparkSession) -> int:
 
 
 class Identified:
-    """Rows with a stable identity: df has _rf (a hash of the file's path), _rr (the place in that file), _path and the
+    """Rows with a stable identity: df has _rf (a hash of the file's path), _rr (the place in that file), _file and the
     columns of the original as _c0, _c1 and so on, so that no name of theirs clashes with one of ours."""
 
     def __init__(self, df: DataFrame, names: list[str]):
@@ -147,7 +147,7 @@ def identified(df: DataFrame, at: str | None = None) -> Identified:
         df.write.parquet(at)
         df = spark.read.schema(df.schema).parquet(at)
     path = F.col("_metadata.file_path")
-    return Identified(df.select("*", F.xxhash64(path), F.col("_metadata.row_index"), path).toDF(*own, "_rf", "_rr", "_path"), names)
+    return Identified(df.select("*", F.xxhash64(path), F.col("_metadata.row_index"), path).toDF(*own, "_rf", "_rr", "_file"), names)
 
 
 _shipped: set[str] = set()
@@ -174,16 +174,16 @@ def words_count(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, by: list[str]) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, by: list[str], rows: int | None = None) -> DataFrame:
     """left inner-joined to right, which has one row per key and the key's number of left rows in column n.
 
-    right is broadcast where it has at most BROADCAST_ROWS rows, counted here. Beyond that
+    right is broadcast where it has at most BROADCAST_ROWS rows, counted here unless `rows` bounds them. Beyond that
     both sides are shuffled by key and salt: a key with over HOT_SHARE of all rows (at most
     1 / HOT_SHARE keys can have that) is dealt to as many salts as it has such shares.
     A row's salt is a hash of its columns `by` (its identity), so a recomputed task deals alike. right should
     be cut (checkpointed): it is read more than once.
     """
-    if right.count() <= BROADCAST_ROWS:
+    if (right.count() if rows is None else rows) <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), keys)
     limit = max(1, int(total * HOT_SHARE))
     salts = F.ceil(F.col(n) / F.lit(limit)).cast("int")
@@ -203,19 +203,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     pairs, spark = cut(pairs), links.sparkSession
-    state = None
+    state, n = None, pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("u", "m"))
+        # a node of a large component has many neighbours: such joins deal it to salts
+        large = hot_join(both, least, ["u"], "_n", 2 * n, ["v"], 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+        small = hot_join(large, low, ["u"], "_n", 2 * n, ["v"], 2 * n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         row = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
         if (row[0], row[1]) == state and row[0] == row[2]:
             break
-        state, pairs = (row[0], row[1]), nxt
+        state, pairs, n = (row[0], row[1]), nxt, row[0]
         del both, least, large, low, small
         release(spark)
     return nxt.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -108,7 +108,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     rows = identified(docs, f"{base}/rows/{batch}" if state_dir else None)
     if state_dir:
         stored = F.lit(rows.place(text_col))
-        rows.df.select("_rf", "_path", stored).distinct().toDF("_rf", "path", "text").write.mode("append").parquet(f"{base}/files")
+        rows.df.select("_rf", "_file", stored).distinct().toDF("_rf", "path", "text").write.mode("append").parquet(f"{base}/files")
     texts = _texts(rows, id_col, text_col)
     log = texts.select("_rf", "_rr", "_id", "_digest")
     log.write.parquet(f"{base}/log/{batch}")

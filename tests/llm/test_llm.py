@@ -143,14 +143,6 @@ def test_html(spark):
     assert right / total > 0.99
 
 
-def test_quality_on_labels(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("quality", "y").select("doc_id", "y")
-    rows = QUERIES["op9_quality_classifier"](spark, SF).join(labels, "doc_id").select("keep", "y").collect()
-    assert sum(r.keep == bool(r.y) for r in rows) >= 0.95 * len(rows)
-    empty = spark.createDataFrame([], "doc_id long, quality int")
-    assert quality.keep_good(odd(spark).selectExpr("*", "source AS lang"), empty).count() == len(ODD)
-
-
 def test_url_keys(spark):
     df = spark.createDataFrame([("http://a.b.org/x/y?q",), ("nohost",), (None,)], "url string")
     got = [r[0] for r in df.select(url_filter.keys_of(df.url)).collect()]
