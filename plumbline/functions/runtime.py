@@ -1,23 +1,32 @@
-"""Checkpoints in the folder that the cluster shares, and ranks over many tasks."""
+"""Checkpoints in the folder that the cluster shares, ranks over many tasks, and this package's sources for executors."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_shipped: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once: in spark.checkpoint.dir, or in a folder of ours where that is unset."""
+    """The same rows, written once: in spark.checkpoint.dir, or in a folder of ours where that is unset.
+
+    Ours is on this machine, so it is made for a local master only; a cluster has to name its shared folder.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
             if not _own:
                 _own.append(tempfile.mkdtemp(prefix="plumbline-"))
                 atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -26,6 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors once per application, for operators that run Python there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    made = Path(tempfile.mkdtemp(prefix="plumbline-core-"))
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    with zipfile.ZipFile(made / "plumbline-core.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(made / "plumbline-core.zip"))
+    _shipped.add(app)
+
+
 def global_rank(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     """Zero-based position in a total order: a distributed sort, and the tasks' row counts before each task."""
     ordered = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import NEIGHBOUR_ORDER, cells, shell_bound, squared_distance, threshold
 from plumbline.functions.runtime import cut, global_rank
+from plumbline.operators.kdjoin import knn_kd
 from plumbline.schema import ApproxConfig
 
 RESULT = ("qi", "qintensity", "rank", "idx", "d2", "intensity")
@@ -37,21 +38,6 @@ def knn_brute(points: DataFrame, k: int, queries: DataFrame | None = None) -> Da
     return _top(queries.join(points, F.col("qi") != F.col("idx")), k)
 
 
-def density_cell_size(points: DataFrame, k: int) -> tuple[float, float]:
-    """(a cell size at which a cube of 27 cells should hold some ten times k points, the widest extent)."""
-    row = points.agg(F.count("*"), *[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
-    if not row[0]:
-        return 1.0, 1.0
-    spans = [max(1, row[2 + 2 * i] - row[1 + 2 * i] + 1) for i in range(3)]
-    volume = reduce(lambda a, b: a * b, map(float, spans))
-    return max(1.0, (0.36 * k * volume / row[0]) ** (1 / 3)), float(max(spans))
-
-
-def _offsets(radius: int):
-    steps = F.array(*[F.lit(d).cast("long") for d in range(-radius, radius + 1)])
-    return steps
-
-
 def _near_cells(queries: DataFrame, radius: int) -> DataFrame:
     """A row per query and cell within the radius: cx, cy, cz."""
     steps = F.array(*[F.lit(d).cast("long") for d in range(-radius, radius + 1)])
@@ -60,15 +46,21 @@ def _near_cells(queries: DataFrame, radius: int) -> DataFrame:
     return queries
 
 
-def knn_exact(points: DataFrame, k: int, cell_size: float | None = None, radii: tuple[int, ...] = (1,), queries: DataFrame | None = None) -> DataFrame:
-    """Exact neighbours by joins on grid cells.
+def knn_exact(points: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Exact neighbours over a partition that follows the points' density (see kdjoin)."""
+    return knn_kd(points, k, queries_of(points) if queries is None else queries)
+
+
+def knn_grid(points: DataFrame, k: int, cell_size: float | None = None, radii: tuple[int, ...] = (1,), queries: DataFrame | None = None) -> DataFrame:
+    """Exact neighbours by joins on grid cells, in DataFrame functions only.
 
     A query is settled when its k-th distance lies strictly within the cube of cells looked
     at; the others go on with the next radius and then with cells of twice the size, until
     a cube holds the whole cloud. The result does not depend on the cell size.
     """
-    guess, extent = density_cell_size(points, k)
-    size = cell_size or guess
+    size = cell_size or choose_cell_size(points, k)
+    row = points.agg(*[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
+    extent = float(max((row[2 * i + 1] or 0) - (row[2 * i] or 0) + 1 for i in range(3)))
     left = queries_of(points) if queries is None else queries
     done: list[DataFrame] = []
     rounds = [(size, r) for r in radii]
@@ -93,19 +85,13 @@ def knn_exact(points: DataFrame, k: int, cell_size: float | None = None, radii:
     return reduce(DataFrame.unionByName, done)
 
 
-def sample_ordinals(n: int, samples: int = SAMPLES) -> list[int]:
-    """Evenly spaced ordinals: floor(i n / s) for s = min(n, samples)."""
-    s = min(n, samples)
-    return sorted({i * n // s for i in range(s)})
-
-
 def kth_distances(points: DataFrame, k: int, n: int) -> DataFrame:
     """idx, d2: exact distance to the k-th neighbour of the sampled points."""
     spark = points.sparkSession
     s = min(n, SAMPLES)
     chosen = spark.range(s).select(F.expr(f"id * {n} div {s}").alias("qi")).distinct()
     asked = queries_of(points).join(F.broadcast(chosen), "qi")  # at most SAMPLES rows
-    near = knn_exact(points, k, queries=asked)
+    near = knn_exact(points, k, asked)
     return near.filter(F.col("rank") == k).select(F.col("qi").alias("idx"), "d2")
 
 
@@ -147,13 +133,13 @@ def knn_approx_shell(points: DataFrame, k: int, config: ApproxConfig | None = No
     near = _top(pairs.join(grid, ["cx", "cy", "cz"]).filter("qi <> idx"), k)
     rest = own.filter("fallback").select("qi", "qx", "qy", "qz", "qintensity")
     if not rest.isEmpty():
-        near = near.unionByName(knn_exact(points, k, cell_size=size, queries=cut(rest)))
+        near = near.unionByName(knn_exact(points, k, cut(rest)))
     return near, flags
 
 
 def knn_proven(points: DataFrame, k: int) -> DataFrame:
     """Exact neighbours that first try one and two shells of the heuristic cell size."""
-    return knn_exact(points, k, cell_size=choose_cell_size(points, k), radii=(1, 2))
+    return knn_grid(points, k, radii=(1, 2))
 
 
 #: FIXED VALUES: the direction of the seeded projection, as single-precision numbers.

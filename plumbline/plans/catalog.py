@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geometry import cells
 from plumbline.functions.remap import level_table
+from plumbline.functions.runtime import global_rank
 from plumbline.operators import compare, equalize, knn
 from plumbline.operators import kmeans as km
 from plumbline.sources.points import EVENTS_SQL, points_from_events
@@ -69,6 +70,22 @@ def _ring(points: DataFrame) -> DataFrame:
     return grid.withColumn("r", F.row_number().over(w).cast("long")).filter("r <= 3")
 
 
+def _by_cell(points: DataFrame) -> DataFrame:
+    """Points in the order of their cells, which lays neighbours side by side."""
+    return global_rank(points.withColumns(cells(CELL)), "cx", "cy", "cz", "idx").select("pos", "idx", "cx", "cy", "cz")
+
+
+def _local_histogram(points: DataFrame) -> DataFrame:
+    """How often each level comes among a point and its neighbours."""
+    near = knn.knn_exact(points, K).select(F.col("qi").alias("idx"), "intensity").unionByName(points.select("idx", "intensity"))
+    return near.groupBy("idx", "intensity").agg(F.count("*").alias("cnt"))
+
+
+def _changed(points: DataFrame) -> DataFrame:
+    counts = km.changed_counts(points, km.kmeans(points, CLUSTERS, STEPS).history)
+    return points.sparkSession.createDataFrame([*enumerate(counts, 1)], "step long, changed long")
+
+
 QUERIES: dict[str, Query] = {
     "points_scan": _on_points(lambda p: p),
     "points_filter_intensity": _on_points(lambda p: p.filter("intensity >= 200")),
@@ -87,6 +104,10 @@ QUERIES: dict[str, Query] = {
     "knn_approx_shell_equalize": _on_points(lambda p: _result(equalize.approximate(p, K_SHELL))),
     "knn_approx_fallback_flags": _on_points(lambda p: knn.knn_approx_shell(p, K_SHELL)[1].select(F.col("qi").alias("idx"), F.col("radius").cast("long").alias("radius"), "found", "fallback")),
     "knn_approx_projection_equalize": _on_points(lambda p: _result(equalize.approximate(p, K, "projection"))),
+    "cell_sorted_points": _on_points(_by_cell),
+    "knn_local_histogram": _on_points(_local_histogram),
+    "knn_fallback_count": _on_points(lambda p: knn.knn_approx_shell(p, K_SHELL)[1].agg(F.count_if("fallback").alias("fallback_points"), F.count("*").alias("points"))),
+    "kmeans_changed_counts": _on_points(_changed),
     "kmeans_assign": _on_points(lambda p: km.kmeans(p, CLUSTERS, STEPS).assigned.select("idx", "cluster")),
     "kmeans_centroids": _on_points(_centroids),
     "kmeans_cluster_sums": _on_points(_inertia),
@@ -225,6 +246,14 @@ ORACLE_SQL: dict[str, str] = {
     "knn_approx_shell_equalize": _with(_shell_sql(K_SHELL), _levels_sql(), _TAIL),
     "knn_approx_fallback_flags": _with(_shell_sql(K_SHELL), f"SELECT idx, radius, CAST(found AS BIGINT) AS found, found < {K_SHELL} AS fallback FROM flags"),
     "knn_approx_projection_equalize": _with(_projection_sql(K), _levels_sql(m=str(K + 1)), _TAIL),
+    "cell_sorted_points": _with(f"g AS (SELECT idx, {_cells_sql(f'{CELL}::DOUBLE')} FROM p)", "SELECT CAST(row_number() OVER (ORDER BY cx, cy, cz, idx) - 1 AS BIGINT) AS pos, idx, cx, cy, cz FROM g"),
+    "knn_local_histogram": _with(_exact_sql(K), "SELECT idx, level AS intensity, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT idx, level FROM flat UNION ALL SELECT idx, intensity FROM p) GROUP BY ALL"),
+    "knn_fallback_count": _with(_shell_sql(K_SHELL), f"SELECT CAST(count(*) FILTER (WHERE found < {K_SHELL}) AS BIGINT) AS fallback_points, CAST(count(*) AS BIGINT) AS points FROM flags"),
+    "kmeans_changed_counts": _with(
+        _kmeans_sql(),
+        "SELECT CAST(1 AS BIGINT) AS step, CAST(count(*) AS BIGINT) AS changed FROM p"
+        + "".join(f" UNION ALL SELECT {i}, count(*) FILTER (WHERE a.cluster <> b.cluster) FROM a{i - 1} a JOIN a{i} b ON a.idx = b.idx" for i in range(2, STEPS + 1)),
+    ),
     "kmeans_assign": _with(_kmeans_sql(), f"SELECT idx, cluster FROM a{STEPS}"),
     "kmeans_centroids": _with(_kmeans_sql(), f"SELECT c, x, y, z FROM c{STEPS}"),
     "kmeans_cluster_sums": _with(_kmeans_sql(), f"SELECT cluster, CAST(count(*) AS BIGINT) AS size, {', '.join(f'CAST(sum({v}) AS BIGINT) AS sum_{v}' for v in 'xyz')} FROM a{STEPS} GROUP BY cluster"),

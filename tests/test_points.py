@@ -1,12 +1,16 @@
 """Fixed cases with known answers, and every named query against DuckDB on the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 
-from plumbline.operators import equalize, knn
+from plumbline.operators import equalize, kdjoin, knn
+from plumbline.functions.remap import level_table
 from plumbline.operators.kmeans import kmeans
 from plumbline.plans.catalog import ORACLE_SQL, QUERIES
 from plumbline.sources.points import generate_points, read_points_text
+from plumbline.streaming import equalize_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,15 +38,16 @@ def test_knn_cases(spark, k, rows, expected):
 
 def test_tie_on_a_cell_face(spark):
     points = cloud(spark, [(2, 2, 3, 100), (4, 2, 3, 10), (2, 2, 5, 200)])
-    assert levels(equalize.exact(points, 1, cell_size=5.0)) == [0, 0, 255]
+    assert levels(equalize.from_neighbours(knn.knn_grid(points, 1, 5.0), points)) == levels(equalize.exact(points, 1)) == [0, 0, 255]
 
 
 @pytest.mark.parametrize(
     ("k", "t", "rows", "clusters", "centroids", "expected"),
     [
-        (2, 1, [(0, 0, 0, 10), (4, 0, 0, 200), (2, 0, 0, 100)], [0, 1, 0], [(1, 0, 0), (4, 0, 0)], [10, 200, 255]),
+        (2, 1, [(0, 0, 0, 10), (4, 0, 0, 200), (2, 0, 0, 100)], [0, 1, 0], [(1, 0, 0), (4, 0, 0)], [0, 200, 255]),
         (2, 1, [(4, 0, 0, 200), (0, 0, 0, 10), (2, 0, 0, 100)], [0, 1, 1], [(4, 0, 0), (1, 0, 0)], [200, 0, 255]),
         (1, 5, [(3, 3, 3, 42)], [0], [(3, 3, 3)], [42]),
+        (2, 5, [(0, 0, 0, 5), (9, 9, 9, 250)], [0, 1], [(0, 0, 0), (9, 9, 9)], [5, 250]),
         (2, 10, [(-1, 0, 0, 10), (50, 0, 0, 20), (0, 0, 0, 30), (0, -1, 0, 40)], [0, 1, 0, 0], [(0, 0, 0), (50, 0, 0)], [0, 20, 127, 255]),
     ],
 )
@@ -51,15 +56,56 @@ def test_kmeans_cases(spark, k, t, rows, clusters, centroids, expected):
     found = kmeans(points, k, t)
     assert [r.cluster for r in found.assigned.orderBy("idx").collect()] == clusters
     assert [(c.x, c.y, c.z) for c in found.centroids] == centroids
-    if rows[0][3] != 10 or k != 2 or t != 1:
-        assert levels(equalize.clusters(points, k, t)) == expected
+    assert levels(equalize.clusters(points, k, t)) == expected
+
+
+CLOUDS = {
+    "uniform": lambda r, i: tuple(r.randint(-10_000, 10_000) for _ in range(3)),
+    "lattice": lambda r, i: (i % 7, i // 7 % 7, i // 49),
+    "one place": lambda r, i: (5, 5, 5),
+    "few places": lambda r, i: (r.randint(0, 2), 0, r.randint(0, 1)),
+    "clump and outliers": lambda r, i: (10**9, -(10**8), i) if i % 97 == 0 else tuple(int(r.gauss(0, 20)) for _ in range(3)),
+    "line": lambda r, i: (i * i, 3, 3),
+}
+
+
+@pytest.mark.parametrize("name", CLOUDS)
+def test_partition_equals_brute_force(spark, name, monkeypatch):
+    r = random.Random(7)
+    points = cloud(spark, [(*CLOUDS[name](r, i), i % 256) for i in range(350)])
+    want = sorted(map(tuple, knn.knn_brute(points, 6).collect()))
+    assert sorted(map(tuple, knn.knn_exact(points, 6).collect())) == want
+    for leaf, inner, sample in ((40, 8, 65_536), (10, 4, 90)):
+        monkeypatch.setattr(kdjoin, "LEAF", leaf)
+        monkeypatch.setattr(kdjoin, "INNER", inner)
+        monkeypatch.setattr(kdjoin, "SAMPLE", sample)
+        assert sorted(map(tuple, knn.knn_exact(points.repartition(3), 6).collect())) == want
+
+
+def test_partition_with_queries_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(kdjoin, "LEAF", 30)
+    points = generate_points(spark, 300, 5)
+    queries = spark.createDataFrame([(-1, 99_999, 0, 0, 1), (7, 0, 0, 0, 2), (1000, -5, 10_000, 3, 3)], "qi long, qx long, qy long, qz long, qintensity int")
+    want = sorted(map(tuple, knn.knn_brute(points, 5, queries).collect()))
+    assert len(want) == 15 and sorted(map(tuple, knn.knn_exact(points, 5, queries).collect())) == want
+    assert knn.knn_exact(points.filter("false"), 5, queries).count() == knn.knn_exact(points, 5, queries.filter("false")).count() == 0
+
+
+def test_fewer_points_than_neighbours(spark):
+    points = cloud(spark, [(0, 0, 0, 1), (1, 0, 0, 2), (5, 0, 0, 3)])
+    assert sorted(map(tuple, knn.knn_exact(points, 9).collect())) == sorted(map(tuple, knn.knn_brute(points, 9).collect()))
+
+
+def test_wide_clouds_are_refused(spark):
+    with pytest.raises(ValueError, match="span"):
+        knn.knn_exact(cloud(spark, [(-(2**31), 0, 0, 1), (2**31 - 1, 0, 0, 2)]), 1)
 
 
 def test_grid_equals_brute_force(spark):
     points = generate_points(spark, 300, 5)
     want = sorted(map(tuple, knn.knn_brute(points, 4).collect()))
     for size in (None, 700.0, 9000.0):
-        assert sorted(map(tuple, knn.knn_exact(points.repartition(3), 4, cell_size=size).collect())) == want
+        assert sorted(map(tuple, knn.knn_grid(points.repartition(3), 4, cell_size=size).collect())) == want
 
 
 def test_shell_falls_back(spark):
@@ -70,13 +116,25 @@ def test_shell_falls_back(spark):
     assert near.groupBy("qi").count().filter("count = 4").count() == len(rows)
 
 
-@pytest.mark.parametrize("text", ["0 1 1\n", "3 1 1\n0 0 0 1\n1 0 0 2\n", "2 2 1\n0 0 0 1\n1 0 0 2\n", "2 1 51\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1.5 0 0 1\n1 0 0 2\n", "2 1 1\nabc 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 256\n1 0 0 2\n"])
+@pytest.mark.parametrize("text", ["0 1 1\n", "100001 1 1\n", "2 0 1\n0 0 0 1\n1 0 0 2\n", "200 129 1\n", "2 1 0\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1e12 0 0 1\n1 0 0 2\n", "2 1 1\ninf 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 -1\n1 0 0 2\n", "x y z\n", "",  "3 1 1\n0 0 0 1\n1 0 0 2\n", "2 2 1\n0 0 0 1\n1 0 0 2\n", "2 1 51\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1.5 0 0 1\n1 0 0 2\n", "2 1 1\nabc 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 256\n1 0 0 2\n"])
 def test_bad_files(spark, tmp_path, text):
     (tmp_path / "in.txt").write_text(text)
     with pytest.raises(Exception):  # noqa: B017
         read_points_text(spark, str(tmp_path / "in.txt"))[0].collect()
 
 
+def test_stream_of_points_takes_a_batch_run_s_levels(spark, tmp_path):
+    points = generate_points(spark, 200, 6)
+    found = kmeans(points, 4, 5)
+    table = level_table(found.assigned, "cluster")
+    points.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
+    q = equalize_stream(stream, found.history[-1], table).writeStream.format("memory").queryName("levels").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.idx, r.cluster, r.new_intensity) for r in spark.table("levels").collect())
+    assert got == sorted((r.idx, r.cluster, r.new_intensity) for r in equalize.from_groups(found.assigned, "cluster").collect())
+
+
 def test_text_file(spark, tmp_path):
     (tmp_path / "in.txt").write_text("2 1 3\n1.0 -2 3e1 7\n4 5 6 8\nrest\n")
     points, params, n = read_points_text(spark, str(tmp_path / "in.txt"))
