@@ -111,6 +111,21 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     return doc, h[at].view(np.int64), sd.view(np.int64), lo - base, hi - base, at - base
 
 
+def ranked(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the different ones."""
+    order = np.argsort(x)
+    new = np.zeros(len(x), np.int64)
+    new[1:] = x[order][1:] != x[order][:-1]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def ranked_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ranks of the pairs of two ranks; b may be -1."""
+    return ranked((a << np.int64(32)) | (b + 1))
+
+
 @lru_cache(maxsize=4)
 def difference_cover(v: int) -> tuple[tuple[int, ...], np.ndarray]:
     """(residues modulo v whose differences are all of 0..v-1, table of a d for which i + d and j + d are residues)."""
@@ -150,15 +165,16 @@ class CoverRanks:
         self.depth = (length - v) // v * v - v  # a multiple of v; what it leaves uncovered at the end is compared by words
         self.depth = max(v, self.depth)
         at = (np.arange(rows)[:, None] * v + np.array(self.cover)).reshape(-1)
-        rank = self._name(self._name(self.words[at], self.words[at + 8]), self._name(self.words[at + 16], self.words[at + 24]))
+        w = [ranked(self.words[at + k]) for k in range(0, v, 8)]
+        rank = ranked_pairs(ranked_pairs(w[0], w[1]), ranked_pairs(w[2], w[3]))
         ranks = {v: rank}
         size = v
         while 2 * size <= self.depth:
-            rank = self._name(rank, self._ahead(rank, size))
+            rank = ranked_pairs(rank, self._ahead(rank, size))
             size *= 2
             ranks[size] = rank
         if size < self.depth:
-            rank = self._name(rank, self._ahead(rank, self.depth - size))
+            rank = ranked_pairs(rank, self._ahead(rank, self.depth - size))
         self.rank = rank
         self.index = np.full(v, -1)
         self.index[list(self.cover)] = np.arange(len(self.cover))
@@ -167,15 +183,6 @@ class CoverRanks:
         k = by // self.V * len(self.cover)
         return np.concatenate([rank[k:], np.full(k, -1, rank.dtype)])
 
-    @staticmethod
-    def _name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the pairs (a, b)."""
-        order = np.lexsort((b, a))
-        new = np.concatenate([[0], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-        out = np.empty(len(a), np.int64)
-        out[order] = np.cumsum(new)
-        return out
-
     def at(self, i: np.ndarray) -> np.ndarray:
         """The rank at the first sample position from each of the positions on."""
         p = i + self.table[i % self.V, i % self.V]
@@ -194,44 +201,69 @@ class CoverRanks:
         return out
 
 
+def _tied(x: np.ndarray) -> np.ndarray:
+    """Which values come more than once."""
+    order = np.argsort(x)
+    same = x[order][1:] == x[order][:-1]
+    out = np.zeros(len(x), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def _refined(some: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(windows, groups) in the order of group and key, without those that no other window ties with."""
-    order = np.lexsort((key, group))
-    some, group, key = some[order], group[order], key[order]
-    new = np.ones(len(some), bool)
-    new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-    group = np.cumsum(new)
-    tied = np.bincount(group)[group] > 1
-    return some[tied], group[tied]
+    rank = ranked_pairs(group, ranked(key))
+    order = np.argsort(rank, kind="stable")
+    tied = np.bincount(rank)[rank[order]] > 1
+    return some[order][tied], rank[order][tied]
+
+
+class Layout:
+    """Segments laid out with their anchors at multiples of CoverRanks.V, so windows that are compared have one residue."""
+
+    def __init__(self, lead: np.ndarray, items: list[bytes], length: int):
+        v = CoverRanks.V
+        self.sizes = np.fromiter(map(len, items), np.int64, len(items))
+        slots = (self.sizes + 2 * v - 1) // v * v
+        self.begin = np.cumsum(slots) - slots + (-lead) % v
+        self.data = np.zeros(int(slots.sum()) + length, np.uint8)
+        for at, item in zip(self.begin.tolist(), items, strict=True):
+            self.data[at : at + len(item)] = np.frombuffer(item, np.uint8)
+        self.words = words_at(self.data).byteswap()
 
 
 def sort_block(bucket: np.ndarray, lead: np.ndarray, items: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment of a block which of its windows are equal to another's at the same offset from the anchor.
 
-    bucket: numbers of the segments' buckets; lead: offset of the anchor from the segment's start. Segments are laid
-    out with their anchors at multiples of CoverRanks.V, so windows that are compared have one residue.
+    bucket: numbers of the segments' buckets; lead: offset of the anchor from the segment's start. Windows whose
+    offset, bucket and bytes at some places have a mix that comes once tie with none and are left out of the sort.
     """
-    v = CoverRanks.V
-    sizes = np.fromiter(map(len, items), np.int64, len(items))
-    slots = (sizes + 2 * v - 1) // v * v
-    begin = np.cumsum(slots) - slots + (-lead) % v
-    data = np.zeros(int(slots.sum()) + length, np.uint8)
-    for at, item in zip(begin.tolist(), items, strict=True):
-        data[at : at + len(item)] = np.frombuffer(item, np.uint8)
-    counts = np.maximum(0, sizes - length + 1)
+    counts = np.maximum(0, np.fromiter(map(len, items), np.int64, len(items)) - length + 1)
+    out = np.zeros(int(counts.sum()), bool)
     member = np.repeat(np.arange(len(items)), counts)
     inner = np.arange(len(member)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = begin[member] + inner
-    out = np.zeros(len(member), bool)
-    some, group = _refined(np.arange(len(member)), bucket[member], lead[member] - inner)
-    words = words_at(data).byteswap()
-    for k in range(0, v, 8):
-        some, group = _refined(some, group, words[start[some] + k])
+    laid = Layout(lead, items, length)
+    start = laid.begin[member] + inner
+    offset, own = lead[member] - inner, ranked(bucket)[member]
+    mix = (own * (length + 1) + offset).astype(_U)
+    for k in (0, length // 4, length // 2, 3 * length // 4, length - 8):
+        mix = mix64(mix + laid.words[start + k])
+    some = np.flatnonzero(_tied(mix))
+    if len(some):
+        kept, place = np.unique(member[some], return_inverse=True)
+        laid = Layout(lead[kept], [items[i] for i in kept.tolist()], length)
+        start = np.zeros(len(member), np.int64)
+        start[some] = laid.begin[place] + inner[some]
+        group = own * (length + 1) + offset
+        some, group = _refined(some, group[some] * 0, group[some])
+        for k in range(0, CoverRanks.V, 8):
+            some, group = _refined(some, group, laid.words[start[some] + k])
     if len(some):
-        ranks = CoverRanks(data, length)
+        ranks = CoverRanks(laid.data, length)
         some, group = _refined(some, group, ranks.at(start[some]))
         for k in [*range(ranks.depth, length - 8, 8), length - 8]:
-            some, group = _refined(some, group, words[start[some] + k])
+            some, group = _refined(some, group, laid.words[start[some] + k])
     if len(some):
         next_to = np.flatnonzero(group[1:] == group[:-1])
         same = ranks.same(start[some[next_to]], start[some[next_to + 1]])
