@@ -6,10 +6,10 @@ n - ceil(0.75 n) + 1 of each (the prefix). The order here is by length in bytes,
 first, then by hash: long shingles are rare. Frequent shingles come last, by frequency, so
 that a passage in a third of all documents stays out of prefixes.
 
-1. Scan A finds the frequent shingles: one in at least 1 / FREQUENT of the documents is that
-   frequent in some chunk of documents, so chunks report theirs and the reports are summed.
-   At most FREQUENT times the mean set size can be; HOT_MOST bounds the broadcast (which
-   shingles are in it changes the work, not the result).
+1. Scan A finds the frequent shingles: a chunk of some hundred documents reports those that it has
+   twice or more, and the reports are summed. The sums are lower bounds: a shingle evenly spread
+   over little more than 1 / FREQUENT of the documents can be missed and then stays in prefixes.
+   Which shingles are found changes the work, not the result; HOT_MOST bounds the broadcast.
 2. Scan B collapses documents with identical prefix and size into one group and deals the
    groups' prefixes out by shingle, packed. Shingles with several groups of fitting size
    become buckets, one for all shingles with the same groups. So does a group with several
