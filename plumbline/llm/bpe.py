@@ -141,7 +141,7 @@ class Vocabulary:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.specials is None or "<" not in text or not self.specials.search(text):
+        if self.specials is None or not self.specials.search(text):
             return b"".join(self._pieces(text))
         got, at = [], 0
         for m in self.specials.finditer(text):

@@ -60,14 +60,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def _planned(docs: DataFrame, keep: list[Column], weights: tuple[int, ...], cap: int, seed: str) -> DataFrame:
-    """One row per document: _id, _size, _source_size, _target, _taken and the columns keep as _k0, _k1 and so on."""
+    """One row per document: _id, _size, _source_size, _target, _taken and _row, a struct of the columns keep (c0, c1 and so on).
+
+    One struct and not a column each: aliases of all the columns that _tie hashes would double the optimizer's
+    constraints with every column.
+    """
     spark = docs.sparkSession
     ident = F.when(F.col("doc_id").isNull(), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = docs.select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), words_count(F.col("text")).alias("_size"),
-        F.md5(F.concat(F.lit(seed + ":"), ident)).alias("_key"), F.xxhash64(*hashed).alias("_tie"),
-        *[c.alias(f"_k{i}") for i, c in enumerate(keep)],
+        F.md5(F.concat(F.lit(seed + ":"), ident)).alias("_key"), F.xxhash64(F.struct(*hashed)).alias("_tie"),
+        F.struct(*[c.alias(f"c{i}") for i, c in enumerate(keep)]).alias("_row") if keep else F.lit(None).cast("int").alias("_row"),
     )
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"), F.sum("_size").alias("source_size"))
     targets = source_targets(sizes, weights, cap)
@@ -92,12 +96,12 @@ def _planned(docs: DataFrame, keep: list[Column], weights: tuple[int, ...], cap:
     rows = rows.join(e, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_range") == F.col("_er")))
     rest = F.col("_budget") - F.col("_epochs") * F.col("_source_size")
     part: Column = F.greatest(F.lit(0), F.least(F.col("_size"), rest - F.col("_base") - F.col("_run")))
-    return rows.select("_id", "_size", "_source_size", "_target", (F.col("_epochs") * F.col("_size") + part).cast("long").alias("_taken"), *[f"_k{i}" for i in range(len(keep))])
+    return rows.select("_id", "_size", "_source_size", "_target", (F.col("_epochs") * F.col("_size") + part).cast("long").alias("_taken"), "_row")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    return _planned(docs, [], weights, cap, seed).toDF("doc_id", "size", "source_size", "target", "taken")
+    return _planned(docs, [], weights, cap, seed).drop("_row").toDF("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -105,7 +109,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, s
     budget ends within a document, that copy has the words up to there, joined by single spaces."""
     cols = docs.columns
     plan = _planned(docs, [F.col(f"`{c}`") for c in cols], weights, cap, seed).filter("_taken > 0")
-    text = F.col(f"_k{cols.index('text')}")
+    of = lambda c: F.col("_row")[f"c{cols.index(c)}"]
+    text = of("text")
     whole = F.expr("cast(_taken div _size as int)")
     cut_words = F.expr("cast(_taken % _size as int)")
     copies = plan.withColumn("_copy", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.when(cut_words > 0, F.array(cut_words)).otherwise(F.array().cast("array<int>")))))
@@ -114,8 +119,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, s
     out = copies.withColumn("_text", F.when(F.col("_copy") > 0, partial).otherwise(text))
     made = {"text": F.col("_text")}
     if "n_chars" in cols:
-        made["n_chars"] = F.when(F.col("_copy") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(f"_k{cols.index('n_chars')}"))
-    return out.select(*[made.get(c, F.col(f"_k{i}")).alias(c) for i, c in enumerate(cols)])
+        made["n_chars"] = F.when(F.col("_copy") > 0, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(of("n_chars"))
+    return out.select(*[made.get(c, of(c)).alias(c) for c in cols])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

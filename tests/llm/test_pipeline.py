@@ -12,7 +12,10 @@ import corpus_pipeline
 from plumbline.llm import bpe
 from plumbline.llm.entries import ORACLE_SQL, QUERIES
 
+from pyspark.sql import functions as F
+
 from test_llm import SF, jaccard_brute
+from test_robust import CLASHES, ODD
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -46,3 +49,22 @@ def test_pipeline_equals_brute_force(spark):
             want[d, len(ids), hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()] += 1
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == want
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Odd rows and extra columns with the operators' own names change nothing but themselves; empty tables give no rows."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(*r, None, None if n % 2 else "src1", 0) for n, r in enumerate(ODD)], docs.schema)
+    rows = docs.filter("doc_id < 60").unionByName(odd)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    result = []
+    for name, extra in (("plain", []), ("clash", CLASHES)):
+        at = str(tmp_path / name)
+        rows.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)]).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        result.append(collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, at).collect()))
+    assert result[0] == result[1] and result[0].total() > 20
+    at = str(tmp_path / "none")
+    rows.filter("false").write.parquet(f"{at}/documents.parquet")
+    labels.filter("false").write.parquet(f"{at}/labels.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0
