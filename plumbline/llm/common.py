@@ -194,16 +194,48 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, total:
     return dealt.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(node, root) of at most BROADCAST_ROWS pairs u, v: one task joins them."""
+    ship(pairs.sparkSession)
+    kind = pairs.schema["u"].dataType.simpleString()
+
+    def join(batches):
+        import pyarrow as pa
+
+        root, kinds = {}, None
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            kinds = batch.schema.types[:1] * 2
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                u, v = sorted((find(u), find(v)))
+                root[v] = u
+        if kinds:
+            nodes = [x for x in root if find(x) != x]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kinds[0]), pa.array([find(x) for x in nodes], kinds[0])], names=["node", "root"])
+
+    return pairs.coalesce(1).mapInArrow(join, f"node {kind}, root {kind}")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of links between longs: (node, root), root the smallest node reachable.
+    """Connected components of links between numbers or strings of bytes: (node, root) of every node but the roots,
+    a root being the smallest node reachable.
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014): each is an
+    At most BROADCAST_ROWS links, counted first, are joined by one task. More go through rounds that
+    alternate the large-star and small-star steps of Kiveris et al. (2014): each is an
     aggregation with partial sums and a join, the edges never grow, and a round's result
     is checkpointed. Only a count per round reaches the driver.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     pairs, spark = cut(pairs), links.sparkSession
     state, n = None, pairs.count()
+    if n <= BROADCAST_ROWS:
+        return cut(_joined(pairs.select("u", "v")))
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("u", "m"))

@@ -22,14 +22,16 @@ that a passage in a third of all documents stays out of prefixes.
    component's nearest pair across components by parity bitmaps, for as long as that finds
    a tenth of the links of the round before; last, all pairs across components that pass the bitmaps' exact bound: the bits in
    which two bitmaps differ are at most the elements in which the sets differ. A component
-   of thousands of near copies so costs a few checks per member, not one per pair.
+   of thousands of near copies so costs a few checks per member, not one per pair. A bucket of over
+   BUCKET members is dealt to several tasks.
 5. Components come from alternating star steps; only counts reach the driver.
 
 Defined results: null text is empty text; documents without words have no shingle, no link
 and are their own component; a document with fewer than five words has its whole sequence
 as one shingle; rows that repeat a doc_id are separate documents (told apart by place);
 a null doc_id never is a component's id unless it is alone; an empty table gives an empty
-result; extra columns are ignored by `components_of` and kept by `one_of_each`.
+result; very long texts have all their shingles; extra columns, whatever their names, are ignored by
+`components_of` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -50,6 +52,10 @@ PERCENT = 75
 FREQUENT = 1000
 HOT_LEAST = 50
 HOT_MOST = 1_000_000
+#: Bytes of text whose shingles are made at once, or one longer text; arrays of some ten times as much come with it.
+CHUNK = 1 << 20
+#: Members of a bucket that one task compares with all of it, about.
+BUCKET = 2000
 #: Rounds of nearest pairs end when one finds less than this part of the links of the one before.
 FEWER = 10
 #: Sizes fit when one is at least PERCENT of the other; sizes in postings are rounded logarithms.
@@ -103,7 +109,7 @@ def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """(shingles, counts, number of rows): those whose reports add up to 1 / FREQUENT of the rows and HOT_LEAST."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in in_chunks(batches, 0):
+        for part, texts in in_chunks(batches, 0, 2 * CHUNK):
             sets = [s for s in shingle_sets(texts) if len(s)]
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, _U), np.zeros(0, int))
             own = counts >= max(2, part.num_rows // FREQUENT)
@@ -121,7 +127,7 @@ def _deal(rows: DataFrame, order, parts: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
-        for _, texts in in_chunks(batches, 0):
+        for _, texts in in_chunks(batches, 0, CHUNK):
             seen, tokens, owners, sizes = set(), [], [], []
             for s in shingle_sets(texts):
                 if not len(s):
@@ -230,7 +236,7 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
-        for part, texts in in_chunks(batches, 3):
+        for part, texts in in_chunks(batches, 3, CHUNK):
             sets = shingle_sets(texts)
             place = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1)
             node = [x.tobytes() for x in place]
@@ -280,7 +286,7 @@ def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame, compared: bo
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = batch.filter(pa.array(may_hold(batch.column(3).to_numpy().view(_U), wanted.value)))
-            for part, texts in in_chunks([some], 2):
+            for part, texts in in_chunks([some], 2, CHUNK):
                 place = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in place], pa.binary()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "items"])
 
@@ -323,16 +329,17 @@ class Maps:
         return out
 
 
-def bucket_pairs(n: np.ndarray, comp: np.ndarray, maps: Maps, best_only: bool) -> list[tuple[int, int, float]]:
+def bucket_pairs(n: np.ndarray, comp: np.ndarray, maps: Maps, best_only: bool, mine: np.ndarray) -> list[tuple[int, int, float]]:
     """(i, j, distance) in one bucket: pairs of different components within the size and bitmap bounds.
 
     With best_only the nearest such pair of each component. Members are in ascending order
-    of n. Only members outside the largest component are compared, with all.
+    of n. Only members outside the largest component are compared, with all; of these only
+    `mine`, as the others are another task's.
     """
     main = np.bincount(comp).argmax()
     out: list[tuple[int, int, float]] = []
     best: dict[int, tuple[float, int, int]] = {}
-    for i in np.flatnonzero(comp != main).tolist():
+    for i in np.flatnonzero((comp != main) & mine).tolist():
         lo, hi = np.searchsorted(n, -(-PERCENT * n[i] // 100)), np.searchsorted(n, 100 * n[i] // PERCENT, "right")
         size = n[lo:hi] + n[i]
         differ = maps.differ(i, int(lo), int(hi))
@@ -361,8 +368,8 @@ def _pairs_across(members: DataFrame, best_only: bool) -> DataFrame:
         best: dict[bytes, tuple[float, bytes, bytes]] = {}
         for batch in batches:
             table = pa.concat_tables([*rest, pa.Table.from_batches([batch])])
-            b = table.column("b").to_numpy()
-            last = int(np.searchsorted(b, b[-1])) if len(b) else 0  # the last bucket may go on in the next batch
+            b, salt = table.column("b").to_numpy(), table.column("salt").to_numpy()
+            last = int(np.argmax((b == b[-1]) & (salt == salt[-1]))) if len(b) else 0  # the last bucket may go on in the next batch
             yield from emit(table.slice(0, last), best)
             rest = [table.slice(last)]
         if rest:
@@ -377,18 +384,18 @@ def _pairs_across(members: DataFrame, best_only: bool) -> DataFrame:
     def emit(table: pa.Table, best) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        table = table.sort_by([("b", "ascending"), ("n", "ascending")])
-        b, n = table.column("b").to_numpy(), table.column("n").to_numpy()
+        table = table.sort_by([("b", "ascending"), ("salt", "ascending"), ("n", "ascending")])
+        b, n, salt, mine = (table.column(c).to_numpy() for c in ("b", "n", "salt", "mine"))
         names, node, bm = (table.column(c).to_pylist() for c in ("comp", "node", "bm"))
         ids = {c: i for i, c in enumerate(dict.fromkeys(names))}
         comp = np.array([ids[c] for c in names])
-        first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (salt[1:] != salt[:-1])]))
         found = set()
         for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
                 continue
             local = np.unique(comp[lo:hi], return_inverse=True)[1]
-            for i, j, d in bucket_pairs(n[lo:hi], local, Maps(bm[lo:hi]), best_only):
+            for i, j, d in bucket_pairs(n[lo:hi], local, Maps(bm[lo:hi]), best_only, mine[lo:hi]):
                 x, y = sorted((node[lo + i], node[lo + j]))
                 if best_only:
                     for c in (names[lo + i], names[lo + j]):
@@ -446,9 +453,13 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     while True:
         release(spark)
         listed = shared.select("b", "g").join(comp, "g").select("b", "node", "comp").unionByName(comp.select(F.col("g").alias("b"), "node", "comp"))
-        spread = listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("b")
-        mixed = listed.join(spread, "b").join(maps, "node").select("b", "node", "comp", "n", "bm")
-        mixed = mixed.repartition(parallelism(spark), "b").sortWithinPartitions("b")
+        spread = cut(listed.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi").select("b", "k"))
+        # of a bucket of over BUCKET members each of several tasks compares its share with all
+        salts = F.ceil(F.col("k") / F.lit(BUCKET)).cast("int")
+        mixed = hot_join(listed, spread, ["b"], "k", total, ["node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        mixed = mixed.withColumn("mine", (F.pmod(F.xxhash64("node"), salts) == F.col("salt")).cast("int")).drop("k")
+        mixed = mixed.join(maps, "node").select("b", "salt", "mine", "node", "comp", "n", "bm")
+        mixed = mixed.repartition(parallelism(spark), "b", "salt").sortWithinPartitions("b", "salt")
         links = cut(links_among(_pairs_across(mixed, best_only), docs, rows, True))
         before, found = found, links.count()
         if found:
@@ -469,8 +480,8 @@ def components_of(rows: DataFrame) -> DataFrame:
     own = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rf", "rr")).alias("first"), F.count("*").alias("m"))
     roots = own.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = cut(roots.select("cls", "root", "first", "m"))
-    best = roots.groupBy("root").agg(F.min("first").alias("best"))
-    where = cut(roots.join(best, "root").select("cls", "best", "m"))
+    best = cut(roots.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("k")))
+    where = cut(hot_join(roots, best, ["root"], "k", total, ["cls"]).select("cls", "best", "m"))
     out = hot_join(named, where, ["cls"], "m", total, ["rf", "rr"])
     return out.select(
         "rf", "rr", "doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), (F.expr("best.rf = rf and best.rr = rr")).alias("keep")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import duckdb
@@ -91,6 +92,20 @@ def test_jaccard_join_equals_brute_force(spark):
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == jaccard_brute(documents(spark))
 
 
+@pytest.mark.parametrize("bucket", [3, 2000])
+def test_jaccard_join_of_one_crowded_bucket(spark, monkeypatch, bucket):
+    """Many texts share a long passage, which is in their prefixes, and differ by all degrees in the rest."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+    r = random.Random(3)
+    passage = [f"averylongwordofthepassage{i}" for i in range(40)]
+    docs = []
+    for i in range(160):
+        words = passage + [f"w{j}" for j in range(r.randint(0, 24))] + [f"x{r.randint(0, 9**9)}" for _ in range(r.choice((0, 2, 9, 30)))]
+        docs.append((i, " ".join(words)))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(x[0]), x[1], str(x[2])) for x in got) == jaccard_brute(docs)
+
+
 def test_jaccard_join_odd_rows(spark):
     got = jaccard_join.jaccard_join(odd(spark).drop("_rf")).collect()
     assert sorted((str(r[0]), r[1], str(r[2])) for r in got) == jaccard_brute(ODD)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -163,3 +164,23 @@ def test_long_text_digests(spark):
     r = exact_dedup.exact_dedup(df).first()
     assert r.text_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
     assert mixing.plan_mix(df).first()["size"] == len(LONG.split())
+
+
+@pytest.mark.parametrize("rows", [0, 50_000])
+@pytest.mark.parametrize("kind", ["bigint", "binary"])
+def test_components_equal_brute_force(spark, monkeypatch, rows, kind):
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    r = random.Random(8)
+    pairs = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(150)] + [(1000, 1001 + i) for i in range(80)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5)]
+    name = (lambda x: x) if kind == "bigint" else (lambda x: x.to_bytes(4, "big"))
+    links = spark.createDataFrame([(name(x), name(y)) for x, y in pairs], f"a {kind}, b {kind}")
+    got = {n: m for n, m in common.components(links).collect()}
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(400):
+        for x, y in pairs:
+            if x != y:
+                root[x] = root[y] = min(root[x], root[y])
+    assert {bytes(k) if kind == "binary" else k: bytes(v) if kind == "binary" else v for k, v in got.items()} == {name(k): name(v) for k, v in root.items() if k != v}
+    assert common.components(links.filter("false")).count() == 0
