@@ -33,9 +33,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import ship
+from plumbline.llm.shingles import give_back
 
 #: Words per generation of a worker's cache; two generations are held.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 60_000
 #: Words longer than this are not cached.
 CACHE_CHARS = 64
 
@@ -189,6 +190,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = False, ids: boo
                     cols.append(decoded)
                     kinds.append(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, list) else c for c, k in zip(cols, kinds, strict=True)], names=names)
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids + ", decoded string" * texts
     names = [x.strip().split(" ")[0] for x in schema.split(",")]

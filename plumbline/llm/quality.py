@@ -32,14 +32,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut as checkpointed
 from plumbline.llm.common import hot_join, identified, new_dir, ship
-from plumbline.llm.shingles import in_chunks, word_hashes
+from plumbline.llm.shingles import give_back, in_chunks, word_hashes
 
 #: Buckets of hashed character trigrams, and the other features.
 TRIGRAMS, SHAPES = 1024, 3
@@ -75,13 +74,17 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last is the intercept, which is not penalised."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    w = np.zeros(x.shape[1] + 1)
+    penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        slope, curve = penalty * w, np.diag(penalty)
+        for lo in range(0, len(x), 512):  # x may be small floats: few rows are widened at a time
+            rows = np.hstack([x[lo : lo + 512].astype(float), np.ones((len(x[lo : lo + 512]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            slope += rows.T @ (p - y[lo : lo + 512])
+            curve += (rows * (p * (1 - p) + 1e-9)[:, None]).T @ rows
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -95,13 +98,13 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in in_chunks(batches, 2):
+        for part, texts in in_chunks(batches, 2, 1 << 18):
             x = features(texts).astype(np.float16)
             yield pa.RecordBatch.from_arrays([*part.columns[:2], part.column(3), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "h", "x"])
 
     seen = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_y", "text", F.xxhash64("text").alias("h")).mapInArrow(scan, "doc_id long, y double, h long, x binary")
     got = seen.groupBy("doc_id").agg(F.min(F.struct("h", "x", "y")).alias("m")).orderBy("doc_id").select("m.x", "m.y").collect()  # sample_rows at most
-    x = np.array([np.frombuffer(r.x, np.float16) for r in got], float).reshape(-1, TRIGRAMS + SHAPES)
+    x = np.frombuffer(b"".join(r.x for r in got), np.float16).reshape(-1, TRIGRAMS + SHAPES)
     return x, np.array([float(r.y >= 0.5) for r in got])
 
 
@@ -109,7 +112,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     """The fitted weights, or None without labels of both kinds; and the share of good labels."""
     x, y = sample(docs, labels, sample_rows)
     prior = float(y.mean()) if len(y) else 0.5
-    return (None if prior in (0.0, 1.0) or not len(y) else fit(x, y)), prior
+    w = None if prior in (0.0, 1.0) or not len(y) else fit(x, y)
+    del x
+    give_back()
+    return w, prior
 
 
 def log_odds(texts: list[bytes], w: np.ndarray | None) -> np.ndarray:
@@ -120,10 +126,12 @@ def log_odds(texts: list[bytes], w: np.ndarray | None) -> np.ndarray:
 def evidence(w: np.ndarray | None) -> Callable:
     """The evidence as a function of a text column; other columns stay in the JVM."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        texts = [(t or "").encode("utf-8", "replace") for t in texts]
-        return pd.Series(np.concatenate([log_odds(texts[i : i + 64], w) for i in range(0, len(texts), 64)]) if texts else np.zeros(0))
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(i, 64).to_pylist() for i in range(0, len(texts), 64))
+        out = pa.array(np.concatenate([np.zeros(0), *(log_odds([(t or "").encode("utf-8", "replace") for t in part], w) for part in parts)]))
+        give_back()
+        return out
 
     return of
 

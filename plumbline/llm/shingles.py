@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 5
 _U = np.uint64
@@ -84,6 +87,13 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def give_back() -> None:
+    """Returns freed memory to the system; else it stays with a worker process that later stages use again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_chunks(batches: Iterator, column: int, limit: int = 4 << 20) -> Iterator[tuple]:
     """(batch slice, its texts as UTF-8) with about `limit` bytes of text each, or one longer text."""
     for whole in batches:
@@ -98,3 +108,4 @@ def in_chunks(batches: Iterator, column: int, limit: int = 4 << 20) -> Iterator[
                 total += len(t)
             if lo < len(texts):
                 yield batch.slice(lo), texts[lo:]
+    give_back()
