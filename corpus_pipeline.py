@@ -13,8 +13,17 @@ from plumbline.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from plumbline.llm.common import delete_dir, new_dir, release
 
 
+#: Documents that go to Python at a time, so that a worker's memory does not depend on Spark's default of ten thousand.
+ARROW_ROWS = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
+    _bounded(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,6 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one stays."""
+    _bounded(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -35,6 +45,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests."""
+    _bounded(spark)
     return bpe.encode_decode(docs, bpe.tokenizer_path(), ids=True)
 
 
