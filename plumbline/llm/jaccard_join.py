@@ -28,7 +28,8 @@ that a passage in a third of all documents stays out of prefixes.
 
 Defined results: null text is empty text; documents without words have no shingle, no link
 and are their own component; a document with fewer than five words has its whole sequence
-as one shingle; rows that repeat a doc_id are separate documents (told apart by place);
+as one shingle; rows that repeat a doc_id are separate documents (of them stays the least by what
+it holds, see `common.ties_of`, and last by its place);
 a null doc_id never is a component's id unless it is alone; an empty table gives an empty
 result; very long texts have all their shingles; extra columns, whatever their names, are ignored by
 `components_of` and kept by `one_of_each`.
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import components, cut, delete_dir, hot_join, identified, key_filter, may_hold, new_dir, parallelism, release, ship
+from plumbline.llm.common import Identified, components, cut, delete_dir, hot_join, identified, key_filter, may_hold, new_dir, parallelism, release, ship
 from plumbline.llm.shingles import in_chunks, mix64, shingle_sets
 
 PERCENT = 75
@@ -65,7 +66,7 @@ _U = np.uint64
 #: Least bits of the bitmaps that buckets compare; verification first compares wider ones.
 SMALL_BITS = 1024
 #: What scan C writes. node: the row's place, 16 bytes.
-DOCUMENTS = "rf long, rr long, doc_id long, node binary, n long, cls binary, g long, bm binary, wide binary"
+DOCUMENTS = "rf long, rr long, doc_id long, ta long, tb long, node binary, n long, cls binary, g long, bm binary, wide binary"
 
 
 def prefix_length(n: int) -> int:
@@ -236,7 +237,7 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
-        for part, texts in in_chunks(batches, 3, CHUNK):
+        for part, texts in in_chunks(batches, 5, CHUNK):
             sets = shingle_sets(texts)
             place = np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1)
             node = [x.tobytes() for x in place]
@@ -247,13 +248,13 @@ def describe(rows: DataFrame, order, wanted) -> DataFrame:
             wide = [bitmap(s) if h and len(s) else None for s, h in zip(sets, held, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *part.columns[:3], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(signed(g)),
+                    *part.columns[:5], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(signed(g)),
                     pa.array([fold(w, small_bytes(len(s))).tobytes() if w else None for s, w in zip(sets, wide, strict=True)], pa.binary()), pa.array(wide, pa.binary()),
                 ],
                 names=DOCUMENTS.replace(",", "").split(" ")[::2],
             )
 
-    return rows.select("_rf", "_rr", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, DOCUMENTS)
+    return rows.select("_rf", "_rr", F.col("doc_id").cast("long").alias("doc_id"), "_ta", "_tb", "text").mapInArrow(scan, DOCUMENTS)
 
 
 def links_among(pairs: DataFrame, docs: DataFrame, rows: DataFrame, compared: bool) -> DataFrame:
@@ -417,7 +418,7 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(documents: rf, rr, doc_id, n, cls; cls, root of classes with links; number of rows)."""
+    """(documents: rf, rr, doc_id, ta, tb, n, cls; cls, root of classes with links; number of rows)."""
     spark = rows.sparkSession
     ship(spark)
     sc = spark.sparkContext
@@ -470,14 +471,14 @@ def linked_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     by_class = cut(comp.join(names.select("node", "cls"), "node").select("cls", F.col("comp").alias("root")))
     delete_dir(spark, f"{at}/buckets")
     release(spark)
-    return docs.select("rf", "rr", "doc_id", "n", "cls"), by_class, total
+    return docs.select("rf", "rr", "doc_id", "ta", "tb", "n", "cls"), by_class, total
 
 
 def components_of(rows: DataFrame) -> DataFrame:
     """rf, rr, doc_id, n_shingles, component_id, keep (the first row of its component) for rows with identities."""
     docs, labels, total = linked_classes(rows)
     named = docs.withColumn("cls", F.when(F.col("n") > 0, F.col("cls")).otherwise(F.concat(F.lit("-").cast("binary"), F.col("rf").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("rr").cast("string").cast("binary"))))
-    own = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "rf", "rr")).alias("first"), F.count("*").alias("m"))
+    own = named.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "ta", "tb", "rf", "rr")).alias("first"), F.count("*").alias("m"))
     roots = own.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = cut(roots.select("cls", "root", "first", "m"))
     best = cut(roots.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("k")))
@@ -488,15 +489,20 @@ def components_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def _rows(rows: Identified) -> DataFrame:
+    """_rf, _rr, _ta, _tb, doc_id, text."""
+    return rows.df.select("_rf", "_rr", *rows.ties(), rows.col("doc_id").alias("doc_id"), rows.col("text").alias("text"))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    return components_of(identified(docs).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return components_of(_rows(identified(docs))).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component (the one with the smallest doc_id), all columns as they were."""
     rows = identified(docs)
-    gone = components_of(rows.select("doc_id", "text")).filter("not keep").select(F.col("rf").alias("_rf"), F.col("rr").alias("_rr"))
+    gone = components_of(_rows(rows)).filter("not keep").select(F.col("rf").alias("_rf"), F.col("rr").alias("_rr"))
     return rows.restore(rows.df.join(gone, ["_rf", "_rr"], "left_anti"))
 
 

@@ -14,7 +14,7 @@ weight among the others until none is above.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its
 own; a null doc_id's key comes from the text, so null ids spread over the ranges; documents with
-equal keys (equal ids) are ordered by size and then by a hash of all their columns but maps, so
+equal keys (equal ids) are ordered by size and then by what they hold (see `common.ties_of`), so
 only rows that are alike can change places and every partitioning gives the same mix; very long
 texts count as their words; an empty table gives an empty result; extra columns, whatever their
 names, are kept by `mix` and ignored by `plan_mix`.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, parallelism, words_count
+from plumbline.llm.common import TIE_COLUMNS, cut, hashable, parallelism, ties_of, words_count
 
 SEED = "mix-1"
 CAP = 3
@@ -67,10 +67,11 @@ def _planned(docs: DataFrame, keep: list[Column], weights: tuple[int, ...], cap:
     """
     spark = docs.sparkSession
     ident = F.when(F.col("doc_id").isNull(), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    known = [F.col(f"`{c}`") for c in TIE_COLUMNS if c in {x.lower() for x in docs.columns}]
+    ta, tb = ties_of(known, [F.col(f"`{f.name}`") for f in docs.schema if hashable(f)])
     rows = docs.select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), words_count(F.col("text")).alias("_size"),
-        F.md5(F.concat(F.lit(seed + ":"), ident)).alias("_key"), F.xxhash64(F.struct(*hashed)).alias("_tie"),
+        F.md5(F.concat(F.lit(seed + ":"), ident)).alias("_key"), F.struct(ta, tb).alias("_tie"),
         F.struct(*[c.alias(f"c{i}") for i, c in enumerate(keep)]).alias("_row") if keep else F.lit(None).cast("int").alias("_row"),
     )
     sizes = rows.groupBy(F.col("_source").alias("source")).agg(F.count("*").alias("n"), F.sum("_size").alias("source_size"))

@@ -88,6 +88,19 @@ def test_ties_mix_alike_under_every_partitioning(spark):
         assert rows_of(mixing.mix(df.repartition(n, "extra"))) == want
 
 
+@pytest.mark.parametrize("name", ["exact", "near"])
+def test_which_row_of_one_id_stays_is_no_matter_of_files(spark, tmp_path, name):
+    """Rows of one doc_id and one text, of two sources, in other files and another order: the same ones stay, extra columns or not."""
+    rows = [(i, f"{i} some text of five words", s, j) for i in range(30) for j, s in enumerate(("s", "t"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    stage = {"exact": exact_dedup.dedup, "near": jaccard_join.one_of_each}[name]
+    got = []
+    for n, part in enumerate((df, df.drop("extra").orderBy(F.desc("source")), df.withColumn("extra", F.lit(7)).repartition(3, "source"))):
+        part.write.parquet(str(tmp_path / str(n)))
+        got.append(rows_of(stage(spark.read.parquet(str(tmp_path / str(n)))).select("doc_id", "source")))
+    assert got[0].total() == 30 and got[0] == got[1] == got[2]
+
+
 def test_second_batch_meets_the_state_of_the_first(spark, tmp_path):
     first = [(10, "a  b"), (11, "c"), (12, None), (13, "only here")]
     second = [(20, "a b"), (9, "c"), (21, ""), (22, "new"), (23, "new"), (None, "a\tb")]
