@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,12 +16,11 @@ _own: list[str] = []
 _shipped: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once: in spark.checkpoint.dir, or in a folder of ours where that is unset.
+def _folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: in spark.checkpoint.dir, or one of ours where that is unset.
 
     Ours is on this machine, so it is made for a local master only; a cluster has to name its shared folder.
     """
-    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at:
@@ -32,9 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
                 atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
             at = "file://" + _own[0]
         spark.sparkContext.setCheckpointDir(at)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once as a checkpoint."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once as Parquet beside the checkpoints: lists take a third of a checkpoint's room, and what
+    reads them takes the columns that it needs. The folder goes when the application ends."""
+    spark = df.sparkSession
+    at = f"{_folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package's sources to the executors once per application, for operators that run Python there."""
     app = spark.sparkContext.applicationId

@@ -13,14 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import NEIGHBOUR_ORDER
-from plumbline.functions.runtime import cut, ship
+from plumbline.functions.runtime import cut, ship, stored
 
-#: Points of the sample, points that a leaf should hold, and leaves at most (a tree of some MB on the driver and each worker).
-SAMPLE, LEAF, LEAVES = 65_536, 4096, 16_384
+#: Points of the sample, points that a leaf should hold (in large and in small clouds: of larger leaves fewer queries look
+#: beyond their own), and leaves at most (a tree of some MB on the driver and each worker).
+SAMPLE, LEAF, SMALL_LEAF, LEAVES = 65_536, 32_768, 4096, 16_384
 #: Points of the leaves within a task's tree, and queries whose distances are held at once.
 INNER, ROWS = 512, 256
 #: Coordinates may span so much: squared distances are 64-bit integers.
@@ -98,6 +98,19 @@ class Tree:
             row, node = np.concatenate([row, row]), np.concatenate([self.child[node, 0], self.child[node, 1]])
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (row, node)
 
+    def around(self, cells: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, leaf) for all leaves with a cell at most reach away along each axis, in a tree of cells."""
+        row, node = np.arange(len(cells)), np.zeros(len(cells), np.int64)
+        found = []
+        while len(row):
+            done = self.leaf[node] >= 0
+            found.append((row[done], self.leaf[node[done]]))
+            row, node = row[~done], node[~done]
+            along, value = cells[row, self.axis[node]], self.value[node]
+            left, right = along - reach < value, along + reach >= value
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([self.child[node[left], 0], self.child[node[right], 1]])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (row, node)
+
     def gap(self, points: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Squared distance from points to the nodes' boxes."""
         out = np.maximum(np.maximum(self.lo[node] - points, points - self.hi[node]), 0)
@@ -183,6 +196,17 @@ def _columns(table: pa.Table, names: str) -> list[np.ndarray]:
 
 def knn_kd(points: DataFrame, k: int, queries: DataFrame) -> DataFrame:
     """qi, qintensity, rank, idx, d2, intensity: the k nearest points of each query (qi, qx, qy, qz, qintensity)."""
+    return listed(knn_lists(points, k, queries))
+
+
+def listed(lists: DataFrame) -> DataFrame:
+    """A row per neighbour of rows of qi, qintensity, near."""
+    near = lists.select("qi", "qintensity", F.posexplode("near").alias("rank", "n"))
+    return near.select("qi", "qintensity", (F.col("rank") + 1).alias("rank"), "n.idx", "n.d2", "n.intensity")
+
+
+def knn_lists(points: DataFrame, k: int, queries: DataFrame) -> DataFrame:
+    """qi, qintensity, near: a row per query with its k nearest points (idx, d2, intensity) in order."""
     spark = points.sparkSession
     ship(spark)
     points = points.select("idx", *[F.col(c).cast("long").alias(c) for c in "xyz"], F.col("intensity").cast("int").alias("intensity"))
@@ -194,7 +218,7 @@ def knn_kd(points: DataFrame, k: int, queries: DataFrame) -> DataFrame:
     step = max(1, -(-n // SAMPLE))
     chosen = points.filter(F.pmod(F.xxhash64("idx"), F.lit(step)) == 0).select("x", "y", "z").toArrow()  # about SAMPLE rows at most
     sample = np.stack(_columns(chosen, "x y z"), axis=1) if chosen.num_rows else np.zeros((0, 3), np.int64)
-    tree = spark.sparkContext.broadcast(Tree(sample, max(1.0, len(sample) / min(LEAVES, max(1, -(-n // LEAF))))))
+    tree = spark.sparkContext.broadcast(Tree(sample, max(1.0, len(sample) / min(LEAVES, max(1, -(-n // min(LEAF, max(SMALL_LEAF, n // 128))))))))
     leaves = len(tree.value.leaves)
 
     def located(df: DataFrame, names: str) -> DataFrame:
@@ -217,8 +241,6 @@ def knn_kd(points: DataFrame, k: int, queries: DataFrame) -> DataFrame:
         found = np.bincount(row, minlength=len(q))
         own = left.column("leaf").to_numpy()
         offsets = np.concatenate([[0], np.cumsum(found)])
-        near = pa.StructArray.from_arrays([pa.array(d2), *(pa.array(p[col, a]) for a in range(3)), pa.array(pi[col]), pa.array(level[col])], names=["d2", "x", "y", "z", "idx", "intensity"])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)
         bound = np.where(found >= k, d2[np.maximum(offsets[1:] - 1, 0)] if len(d2) else -1, -1) if len(q) else r2
         first = left.column("first").to_numpy(zero_copy_only=False).astype(bool)
         query, leaf = tree.value.touching(q[first], bound[first])
@@ -228,6 +250,9 @@ def knn_kd(points: DataFrame, k: int, queries: DataFrame) -> DataFrame:
         by = np.argsort(query, kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(query, minlength=len(q)))])
         away = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf[by].astype(np.int32)))
+        alone = first & (np.diff(ends) == 0)  # the order of these is settled: no coordinates
+        near = pa.StructArray.from_arrays([pa.array(d2), *(pa.array(p[col, a], mask=alone[row]) for a in range(3)), pa.array(pi[col]), pa.array(level[col])], names=["d2", "x", "y", "z", "idx", "intensity"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), near)
         cols = [left.column(c) for c in ("qi", "qx", "qy", "qz", "qintensity")]
         return pa.table([*cols, pa.array(bound), lists, away], names=["qi", "qx", "qy", "qz", "qintensity", "r2", "near", "leaves"])
 
@@ -235,14 +260,14 @@ def knn_kd(points: DataFrame, k: int, queries: DataFrame) -> DataFrame:
         return asked.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(look, _FOUND)
 
     asked = located(queries, "qx qy qz").select("*", F.lit(-1).cast("long").alias("r2"), F.lit(True).alias("first"))
-    first = cut(joined(asked))
-    settled = first.filter(F.size("leaves") == 0).select("qi", "qintensity", F.posexplode("near").alias("rank", "n"))
-    settled = settled.select("qi", "qintensity", (F.col("rank") + 1).alias("rank"), "n.idx", "n.d2", "n.intensity")
+    first = stored(joined(asked))
+    plain = lambda near: F.transform(near, lambda n: F.struct(n["idx"].alias("idx"), n["d2"].alias("d2"), n["intensity"].alias("intensity")))
+    settled = first.filter(F.size("leaves") == 0).select("qi", "qintensity", plain(F.col("near")).alias("near"))
     if leaves == 1:
         return settled
     open_ = first.filter(F.size("leaves") > 0)
     again = joined(open_.select("qi", "qx", "qy", "qz", "qintensity", F.explode("leaves").alias("leaf"), "r2", F.lit(False).alias("first")))
-    both = open_.select("qi", "qintensity", F.explode("near").alias("n")).unionByName(again.select("qi", "qintensity", F.explode("near").alias("n")))
-    order = Window.partitionBy("qi").orderBy(*NEIGHBOUR_ORDER)
-    merged = both.select("qi", "qintensity", "n.*").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return settled.unionByName(merged.select("qi", "qintensity", "rank", "idx", "d2", "intensity"))
+    both = open_.select("qi", "qintensity", "near").unionByName(again.filter(F.size("near") > 0).select("qi", "qintensity", "near"))
+    # the structs' fields are in the order of NEIGHBOUR_ORDER
+    merged = both.groupBy("qi", "qintensity").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return settled.unionByName(merged.select("qi", "qintensity", plain(F.col("near")).alias("near")))

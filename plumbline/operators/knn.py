@@ -11,9 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.geometry import NEIGHBOUR_ORDER, cells, shell_bound, squared_distance, threshold
-from plumbline.functions.runtime import cut, global_rank
-from plumbline.operators.kdjoin import knn_kd
+from plumbline.functions.geometry import NEIGHBOUR_ORDER, cells, shell_bound, squared_distance
+from plumbline.functions.runtime import cut, global_rank, stored
+from plumbline.operators.kdjoin import knn_kd, knn_lists, listed
+from plumbline.operators.shells import shells
 from plumbline.schema import ApproxConfig
 
 RESULT = ("qi", "qintensity", "rank", "idx", "d2", "intensity")
@@ -51,6 +52,11 @@ def knn_exact(points: DataFrame, k: int, queries: DataFrame | None = None) -> Da
     return knn_kd(points, k, queries_of(points) if queries is None else queries)
 
 
+def exact_lists(points: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """knn_exact with a row per query: qi, qintensity, near (idx, d2, intensity)."""
+    return knn_lists(points, k, queries_of(points) if queries is None else queries)
+
+
 def knn_grid(points: DataFrame, k: int, cell_size: float | None = None, radii: tuple[int, ...] = (1,), queries: DataFrame | None = None) -> DataFrame:
     """Exact neighbours by joins on grid cells, in DataFrame functions only.
 
@@ -106,35 +112,23 @@ def choose_cell_size(points: DataFrame, k: int) -> float:
 
 
 def knn_approx_shell(points: DataFrame, k: int, config: ApproxConfig | None = None, cell_size: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(neighbours, flags qi, radius, found, fallback): candidates from shells of cells, exact search where they are too few.
+    """(neighbours, flags qi, radius, found, fallback): candidates from shells of cells, exact search where they are too few (see shells)."""
+    near, flags = shell_lists(points, k, config, cell_size)
+    return listed(near), flags
 
-    How many candidates a radius gives depends on the query's cell only, so radii are chosen
-    from the cells' counts before any point is paired.
-    """
-    config = config or ApproxConfig()
-    size = cell_size or choose_cell_size(points, k)
-    grid = points.withColumns(cells(size))
-    counts = cut(grid.groupBy("cx", "cy", "cz").agg(F.count("*").alias("cnt")))
-    asked = counts.select(*[F.col(f"c{c}").alias(f"qc{c}") for c in "xyz"])
-    around = _near_cells(asked, 2).join(counts, ["cx", "cy", "cz"])
-    ring = F.greatest(*[F.abs(f"_d{c}") for c in "xyz"])
-    keys = ["qcx", "qcy", "qcz"]
-    sums = around.groupBy(*keys).agg(*[F.sum(F.when(ring == r, F.col("cnt")).otherwise(0)).alias(f"r{r}") for r in range(3)])
-    c0 = F.col("r0") - 1
-    two, three = threshold(k, config.second_ratio), threshold(k, config.third_ratio)
-    go2 = (c0 < two) if config.second else F.lit(False)
-    c1 = c0 + F.when(go2, F.col("r1")).otherwise(0)
-    go3 = (c1 < three) if config.third else F.lit(False)
-    found = c1 + F.when(go3, F.col("r2")).otherwise(0)
-    chosen = cut(sums.select(*keys, go2.alias("go1"), go3.alias("go2"), found.alias("found"), F.when(go3, 2).when(go2, 1).otherwise(0).alias("radius"), (found < k).alias("fallback")))
-    own = queries_of(points).withColumns(cells(size, "q")).join(chosen, keys)
-    flags = own.select("qi", "radius", "found", "fallback")
-    pairs = _near_cells(own.filter("not fallback"), 2).filter((ring == 0) | ((ring == 1) & F.col("go1")) | ((ring == 2) & F.col("go2")))
-    near = _top(pairs.join(grid, ["cx", "cy", "cz"]).filter("qi <> idx"), k)
-    rest = own.filter("fallback").select("qi", "qx", "qy", "qz", "qintensity")
+
+def shell_lists(points: DataFrame, k: int, config: ApproxConfig | None = None, cell_size: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """knn_approx_shell with a row per query: qi, qintensity, near (idx, d2, intensity)."""
+    found = stored(_shells(points, k, config, cell_size))
+    rest = found.filter("fallback").select("qi", "qx", "qy", "qz", "qintensity")
+    near = found.filter("not fallback").select("qi", "qintensity", "near")
     if not rest.isEmpty():
-        near = near.unionByName(knn_exact(points, k, cut(rest)))
-    return near, flags
+        near = near.unionByName(knn_lists(points, k, rest))
+    return near, found.select("qi", "radius", "found", "fallback")
+
+
+def _shells(points: DataFrame, k: int, config: ApproxConfig | None = None, cell_size: float | None = None) -> DataFrame:
+    return shells(points, k, cell_size or choose_cell_size(points, k), config or ApproxConfig())
 
 
 def knn_proven(points: DataFrame, k: int) -> DataFrame:

@@ -1,11 +1,12 @@
 """Fixed cases with known answers, and every named query against DuckDB on the smallest tables."""
 
+import math
 import random
 
 import duckdb
 import pytest
 
-from plumbline.operators import equalize, kdjoin, knn
+from plumbline.operators import equalize, kdjoin, knn, shells
 from plumbline.functions.remap import level_table
 from plumbline.operators.kmeans import kmeans
 from plumbline.plans.catalog import ORACLE_SQL, QUERIES
@@ -116,6 +117,40 @@ def test_shell_falls_back(spark):
     assert near.groupBy("qi").count().filter("count = 4").count() == len(rows)
 
 
+def shells_brute(rows, k, size):
+    """(qi, neighbours in order) and (qi, radius, found) as SURVEY says, pair by pair."""
+    cell = [tuple(math.floor(c * (1.0 / size)) for c in r[:3]) for r in rows]
+    near, flags = [], []
+    for i, q in enumerate(rows):
+        ring = [max(abs(a - b) for a, b in zip(cell[i], c, strict=True)) for c in cell]
+        least, used, radius = -(-5 * k // 4), {0}, 0
+        for r in (1, 2):
+            if sum(x in used for x in ring) - 1 < least:
+                used, radius = used | {r}, r
+        mine = sorted((sum((a - b) ** 2 for a, b in zip(q[:3], p[:3], strict=True)), *p[:3], j) for j, p in enumerate(rows) if j != i and ring[j] in used)
+        flags.append((i, radius, len(mine), len(mine) < k))
+        if len(mine) >= k:
+            near += [(i, rank, x[4], x[0]) for rank, x in enumerate(mine[:k], 1)]
+    return near, flags
+
+
+@pytest.mark.parametrize("name", CLOUDS)
+def test_shells_make_no_row_per_cell(spark, name, monkeypatch):
+    """Shells by leaves of cells equal the plain definition, without a row per query and cell looked at."""
+    monkeypatch.setattr(knn, "_near_cells", None)
+    monkeypatch.setattr(shells, "SMALL_LEAF", 20)
+    r = random.Random(8)
+    rows = [(*CLOUDS[name](r, i), i % 256) for i in range(250)]
+    points = cloud(spark, rows)
+    size = knn.choose_cell_size(points, 4)
+    for n in (size, size * 2.3):
+        want, flags = shells_brute(rows, 4, n)
+        near, got = knn.knn_approx_shell(points.repartition(3), 4, cell_size=n)
+        fell = {f[0] for f in flags if f[3]}
+        assert sorted(map(tuple, got.collect())) == flags
+        assert sorted((x.qi, x["rank"], x.idx, x.d2) for x in near.collect() if x.qi not in fell) == want
+
+
 @pytest.mark.parametrize("text", ["0 1 1\n", "100001 1 1\n", "2 0 1\n0 0 0 1\n1 0 0 2\n", "200 129 1\n", "2 1 0\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1e12 0 0 1\n1 0 0 2\n", "2 1 1\ninf 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 -1\n1 0 0 2\n", "x y z\n", "",  "3 1 1\n0 0 0 1\n1 0 0 2\n", "2 2 1\n0 0 0 1\n1 0 0 2\n", "2 1 51\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1.5 0 0 1\n1 0 0 2\n", "2 1 1\nabc 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 256\n1 0 0 2\n"])
 def test_bad_files(spark, tmp_path, text):
     (tmp_path / "in.txt").write_text(text)
