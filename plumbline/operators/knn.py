@@ -20,6 +20,8 @@ from plumbline.schema import ApproxConfig
 RESULT = ("qi", "qintensity", "rank", "idx", "d2", "intensity")
 SAMPLES = 1024
 PERCENTILE = 0.6
+#: Queries of cells with fewer candidates than so many times k try the next shell, where the result has to be proven.
+PROVEN_RATIO = (27, 1)
 
 
 def queries_of(points: DataFrame) -> DataFrame:
@@ -132,8 +134,21 @@ def _shells(points: DataFrame, k: int, config: ApproxConfig | None = None, cell_
 
 
 def knn_proven(points: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours that first try one and two shells of the heuristic cell size."""
-    return knn_grid(points, k, radii=(1, 2))
+    """Exact neighbours (see proven_lists)."""
+    return listed(proven_lists(points, k))
+
+
+def proven_lists(points: DataFrame, k: int) -> DataFrame:
+    """Exact neighbours from shells of the heuristic cell size where the k-th distance lies strictly within the cube of
+    cells looked at, which proves them; exact search for the other queries."""
+    size = choose_cell_size(points, k)
+    asked = _shells(points, k, ApproxConfig(True, True, PROVEN_RATIO, (5, 4)), size).withColumns(cells(size, "q"))
+    bound = F.when(F.col("radius") == 0, shell_bound(size, 0)).when(F.col("radius") == 1, shell_bound(size, 1)).otherwise(shell_bound(size, 2))
+    far = F.try_element_at("near", F.lit(-1))["d2"]
+    found = stored(asked.withColumn("proven", ~F.col("fallback") & (far < bound * bound)).withColumn("near", F.when(F.col("proven"), F.col("near"))).drop("qcx", "qcy", "qcz"))
+    rest = found.filter("not coalesce(proven, false)").select("qi", "qx", "qy", "qz", "qintensity")
+    near = found.filter("proven").select("qi", "qintensity", "near")
+    return near if rest.isEmpty() else near.unionByName(knn_lists(points, k, rest))
 
 
 #: FIXED VALUES: the direction of the seeded projection, as single-precision numbers.

@@ -135,8 +135,8 @@ def shells_brute(rows, k, size):
 
 
 @pytest.mark.parametrize("name", CLOUDS)
-def test_shells_make_no_row_per_cell(spark, name, monkeypatch):
-    """Shells by leaves of cells equal the plain definition, without a row per query and cell looked at."""
+def test_shells_and_proven_make_no_row_per_cell(spark, name, monkeypatch):
+    """Shells by leaves of cells equal the plain definition, and what they prove is exact, without a row per query and cell looked at."""
     monkeypatch.setattr(knn, "_near_cells", None)
     monkeypatch.setattr(shells, "SMALL_LEAF", 20)
     r = random.Random(8)
@@ -149,6 +149,7 @@ def test_shells_make_no_row_per_cell(spark, name, monkeypatch):
         fell = {f[0] for f in flags if f[3]}
         assert sorted(map(tuple, got.collect())) == flags
         assert sorted((x.qi, x["rank"], x.idx, x.d2) for x in near.collect() if x.qi not in fell) == want
+    assert sorted(map(tuple, knn.knn_proven(points, 4).collect())) == sorted(map(tuple, knn.knn_brute(points, 4).collect()))
 
 
 @pytest.mark.parametrize("text", ["0 1 1\n", "100001 1 1\n", "2 0 1\n0 0 0 1\n1 0 0 2\n", "200 129 1\n", "2 1 0\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1e12 0 0 1\n1 0 0 2\n", "2 1 1\ninf 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 -1\n1 0 0 2\n", "x y z\n", "",  "3 1 1\n0 0 0 1\n1 0 0 2\n", "2 2 1\n0 0 0 1\n1 0 0 2\n", "2 1 51\n0 0 0 1\n1 0 0 2\n", "2 1 1\n1.5 0 0 1\n1 0 0 2\n", "2 1 1\nabc 0 0 1\n1 0 0 2\n", "2 1 1\n0 0 0 256\n1 0 0 2\n"])
