@@ -8,13 +8,13 @@
 3. Each task takes its rows as shards of at most SHARD_ROWS documents and SHARD_POSTINGS
    postings, wherever they lie: nothing is shuffled. A shard is an inverted index: documents in
    the order of their length, blocks of BLOCK_ROWS neighbours, postings by term and document
-   with their BM25 impact, and for each term the largest impact in each block.
+   with their BM25 impact, for each term the largest impact in each block, and each document's own postings.
 4. As in block-max WAND, the sum of a query's terms' block maxima bounds every score in a
-   block, and the cursors go to blocks only whose bound reaches the threshold, the k-th best
+   block, and only blocks are read whose bound reaches the threshold, the k-th best
    score so far (also that of the task's earlier shards). Bounds of a batch come from one matrix
    product for the frequent terms and from the postings of the others. Blocks with the largest
-   bounds are scored first, in rounds that raise the threshold; the postings of the rest are
-   never read. Ties at the threshold are scored, so the k are exact.
+   bounds are scored first, from their documents' own postings, in rounds that raise the threshold; the
+   documents of the rest are never read. Ties at the threshold are scored, so the k are exact.
 5. The shards' k best are merged by a window with limits before and after the shuffle.
 
 Terms are lower-case (A-Z) runs of anything but ASCII white space, known by 64-bit hashes.
@@ -43,13 +43,13 @@ from plumbline.llm.shingles import in_chunks, word_hashes
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_ROWS, SHARD_POSTINGS = 8192, 4_000_000
-BLOCK_ROWS = 2
+BLOCK_ROWS = 1
 #: Rows that go to Python at a time.
 ARROW_ROWS = 1000
 #: Terms of one batch of queries; the largest query can be above it alone.
 BATCH_TERMS = 1_000_000
 #: Blocks scored before the threshold prunes the rest, and how many times as many each later round scores.
-FIRST_BLOCKS, MORE_BLOCKS = 32, 64
+FIRST_BLOCKS, MORE_BLOCKS = 10, 2
 #: Queries whose bounds come from one matrix product.
 PRODUCT = 512
 #: Terms in at least this share of a shard's documents have their block maxima in a matrix.
@@ -126,17 +126,12 @@ class Index:
         self.dense = np.full(len(df), -1, np.int32)
         self.dense[frequent] = np.arange(len(frequent))
         self.top = np.zeros((len(frequent), self.blocks), np.float32)
-        # cursors: how many postings a term has in each block, and where they begin
-        self.counts, self.begins = np.zeros(self.top.shape, np.uint8), np.zeros(self.top.shape, np.int32)
         for i, t in enumerate(frequent.tolist()):
             lo, hi = self.start[t], self.start[t + 1]
             block = self.doc[lo:hi] // BLOCK_ROWS
             new = np.flatnonzero(np.diff(block, prepend=-1))
             self.top[i, block[new]] = np.maximum.reduceat(self.impact[lo:hi], new) * SLACK
-            self.counts[i, block[new]] = np.diff(new, append=hi - lo)
-            self.begins[i, block[new]] = lo + new
-        self.counts, self.begins = self.counts.reshape(-1), self.begins.reshape(-1)
-        self.weights, self.slot = np.zeros(len(queries.terms)), np.full(self.blocks, -1, np.int32)
+        self.weights = np.zeros(len(queries.terms))
         self.held = self.read = 0
 
     def _norm(self, lengths: np.ndarray) -> np.ndarray:
@@ -164,54 +159,39 @@ class Index:
     def search(self, q: int, bound: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores): the shard's documents that score `least` or more and may be among its k best, ties included.
 
-        Pruning goes by floats of 32 bits and a threshold lowered by SLACK; the scores are exact.
+        Bounds are floats of 32 bits, so the threshold is lowered by SLACK; the scores are exact.
         """
         least /= SLACK
         term, weight = self.queries.of(q)
         self.held += int((self.start[term + 1] - self.start[term]).sum())
-        dense = self.dense[term]
-        some = dense >= 0
-        rare, frequent, common = np.flatnonzero(~some), dense[some] * self.blocks, weight[some]
-        rows, own = ranges(self.start[term[rare]], self.start[term[rare] + 1])
-        rare_doc, rare_gain = self.doc[rows], self.impact[rows] * weight[rare][own]
         left = np.flatnonzero((bound > 0) & (bound >= least))
         if len(left) > FIRST_BLOCKS:
             left = left[np.argpartition(-bound[left], FIRST_BLOCKS)]
         n, docs, scores = FIRST_BLOCKS, np.zeros(0, np.int64), np.zeros(0)
+        self.weights[term] = weight
         while len(left):
-            now = left[:n]
-            cell = (frequent[:, None] + now).reshape(-1)
-            held = self.counts[cell]
-            full = np.flatnonzero(held)
-            lo = self.begins[cell[full]]
-            at, own = ranges(lo, lo + held[full])
-            self.slot[now] = np.arange(len(now)) * BLOCK_ROWS
-            slot = self.slot[rare_doc // BLOCK_ROWS]
-            mine = slot >= 0
-            doc = self.doc[at]
-            place = np.concatenate([self.slot[doc // BLOCK_ROWS] + doc % BLOCK_ROWS, slot[mine] + rare_doc[mine] % BLOCK_ROWS])
-            self.slot[now] = -1
-            self.read += len(place)
-            score = np.bincount(place, np.concatenate([self.impact[at] * common[full[own] // len(now)], rare_gain[mine]]), len(now) * BLOCK_ROWS)
+            now = (left[:n, None] * BLOCK_ROWS + np.arange(BLOCK_ROWS)).reshape(-1)
+            now = now[now < self.size]
+            score = self._exact(now)
             good = np.flatnonzero((score > 0) & (score >= least))
-            docs, scores = np.concatenate([docs, now[good // BLOCK_ROWS] * BLOCK_ROWS + good % BLOCK_ROWS]), np.concatenate([scores, score[good]])
+            docs, scores = np.concatenate([docs, now[good]]), np.concatenate([scores, score[good]])
             if len(scores) >= k:
                 least = max(least, float(np.partition(scores, -k)[-k]) / SLACK)
             left, n = left[n:], n * MORE_BLOCKS
             left = left[bound[left] >= least]
-        docs = docs[scores >= least]
-        return docs, self._exact(docs, term, weight)
+        self.weights[term] = 0
+        kept = scores >= least
+        return docs[kept], scores[kept]
 
-    def _exact(self, docs: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """The documents' scores, each added up in the order of terms."""
+    def _exact(self, docs: np.ndarray) -> np.ndarray:
+        """The documents' scores by self.weights, each added up in the order of terms."""
         first, terms, counts = self.forward
-        self.weights[term] = weight
-        norm, out = self._norm(self.lengths[docs]), np.zeros(len(docs))
-        for i, d in enumerate(docs.tolist()):
-            tf = counts[first[d] : first[d + 1]].astype(float)
-            out[i] = np.sum(tf * (K1 + 1) / (tf + norm[i]) * self.weights[terms[first[d] : first[d + 1]]])
-        self.weights[term] = 0
-        return out
+        rows, own = ranges(first[docs], first[docs + 1])
+        self.read += len(rows)
+        tf = counts[rows].astype(float)
+        gain = tf * (K1 + 1) / (tf + self._norm(self.lengths[docs])[own]) * self.weights[terms[rows]]
+        ends = np.cumsum(first[docs + 1] - first[docs]).tolist()
+        return np.array([np.add.reduce(gain[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)])
 
 
 Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]

@@ -78,6 +78,23 @@ def test_postings_of_pruned_blocks_are_not_read():
     assert index.held == sum(frequency[int(t)] for q in asked for t in got[q][0])
 
 
+def test_few_documents_are_read_beyond_the_best():
+    """Bounds are so near to the scores that hardly more documents are read than are found."""
+    docs = corpus()
+    got = bm25_search.term_counts([(t or "").encode() for _, t in docs])
+    lengths = np.array([int(c.sum()) for _, c in got])
+    asked = [q for q in range(7, DOCS, 60) if len(got[q][0])]
+    queries = bm25_search.Queries([got[q][0] for q in asked], [got[q][1] * 1.0 for q in asked])
+    vectors = pa.record_batch([pa.array(range(DOCS)), pa.array(lengths), pa.array([t.tobytes() for t, _ in got]), pa.array([c.astype("<u4").tobytes() for _, c in got])], names=["doc_id", "n", "terms", "counts"])
+    ((_, *postings),) = bm25_search.shards_of(iter([vectors]), queries)
+    index = bm25_search.Index(*postings, float(lengths.mean()), queries)
+    bounds = index.bounds(0, len(asked))
+    found = [index.search(i, bounds[i], K)[0] for i in range(len(asked))]
+    held = sum(int(postings[1][f].sum()) for f in found)
+    print("read", index.read, "of documents found", held, "held", index.held)
+    assert 0 < index.read <= 3 * held
+
+
 def test_odd_rows_and_many_batches(spark, monkeypatch):
     monkeypatch.setattr(bm25_search, "BATCH_TERMS", 7)
     docs = [(1, "a b c d"), (2, "a b c d"), (2, "A\tB"), (None, "a b"), (None, None), (3, ""), (4, "x " * 2_500_000), (5, "c d e"), (5, "c d e"), (6, "z y x w v u t s r q")]
