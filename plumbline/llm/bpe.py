@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.common import ship
-from plumbline.llm.shingles import give_back
+from plumbline.llm.shingles import KEPT, give_back
 
 #: Words per generation of a worker's cache; two generations are held.
 CACHE_WORDS = 60_000
@@ -163,10 +163,13 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """One per worker; its cache lives as long as the worker."""
+    """One per worker; its cache lives until the worker or another operator's scan in it."""
     return Vocabulary.from_json(path)
 
 
+KEPT.append(vocabulary.cache_clear)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, texts: bool = False, ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; with ids the tokens (binary), with texts the decoded text.
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut as checkpointed
 from plumbline.llm.common import hot_join, identified, new_dir, ship
-from plumbline.llm.shingles import give_back, in_chunks, word_hashes
+from plumbline.llm.shingles import give_back, in_chunks, let_go, word_hashes
 
 #: Buckets of hashed character trigrams, and the other features.
 TRIGRAMS, SHAPES = 1024, 3
@@ -128,6 +128,7 @@ def evidence(w: np.ndarray | None) -> Callable:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
+        let_go()
         parts = (texts.slice(i, 64).to_pylist() for i in range(0, len(texts), 64))
         out = pa.array(np.concatenate([np.zeros(0), *(log_odds([(t or "").encode("utf-8", "replace") for t in part], w) for part in parts)]))
         give_back()
@@ -170,7 +171,8 @@ def _sites(narrow: DataFrame, prior: float) -> tuple[DataFrame, float, int]:
 
 def _quality(mean: float) -> F.Column:
     """Posterior probability from _e and path_quality."""
-    odds = F.col("_e") + _logit(F.col("path_quality")) - F.lit(math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
+    # coalesce: else a filter on it asks before the join whether _e is null, and the function of the texts runs twice
+    odds = F.coalesce("_e", F.lit(0.0)) + _logit(F.col("path_quality")) - F.lit(math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
     return 1 / (1 + F.exp(-odds))
 
 

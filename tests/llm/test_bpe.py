@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from plumbline.llm import bpe
+from plumbline.llm import bpe, shingles
 
 TEXTS = ["It's 12 words <|endoftext|> twice", "naïve café Σας, again and again", "", None]
 
@@ -43,3 +43,11 @@ def test_query_decodes(monkeypatch):
     assert seen == [r["ids"] for r in got]
     v = bpe.vocabulary(bpe.tokenizer_path())
     assert [r["decoded_sha256"] for r in got] == [hashlib.sha256((decode(v, r["ids"]) + "!").encode()).hexdigest() for r in got]
+
+
+def test_vocabulary_goes_when_another_operator_reads_texts():
+    bpe.vocabulary(bpe.tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(["one text"])], names=["text"])
+    assert [texts for _, texts in shingles.in_chunks([batch], 0)] == [[b"one text"]]
+    assert bpe.vocabulary.cache_info().currsize == 0
+    assert bpe.vocabulary(bpe.tokenizer_path()).ids("one text")

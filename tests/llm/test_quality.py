@@ -78,3 +78,11 @@ def test_sample_is_the_same_for_every_partitioning(spark):
     x, y = quality.sample(docs, labels, 40)
     again = quality.sample(docs.repartition(7), labels.repartition(3), 40)
     assert len(x) <= 40 and (x == again[0]).all() and (y == again[1]).all()
+
+
+def test_texts_are_judged_once(spark):
+    docs, labels = tables(spark)
+    kept = quality.keep_good(docs, labels)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in quality.score(docs, labels).filter("keep").collect()}
